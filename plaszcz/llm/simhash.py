@@ -33,20 +33,26 @@ SLAB_ROWS = 4096
 _SHIFT_ROWS = 48
 
 
-def fingerprints(texts: pa.Array, n_words: int, seed: int) -> np.ndarray:
-    """One unsigned 64-bit fingerprint per text; no words give zero."""
+def shingle_hashes(texts: pa.Array, n_words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of every text, repeats included, and each text's first shingle.
+
+    A text of fewer words than n_words has one shingle, one without words none.
+    """
     words, first = split_words(pc.ascii_lower(texts))
     sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes + 1)))
-    joined = joined_words(words)
     counts = np.diff(first)
     n_shingles = np.where(counts == 0, 0, np.maximum(counts - n_words + 1, 1))
     base = np.concatenate(([0], np.cumsum(n_shingles)))
     owner = np.repeat(np.arange(len(counts)), n_shingles)
     head = first[owner] + (np.arange(base[-1]) - base[owner])
     last = np.minimum(head + n_words, first[owner + 1])
-    hashes = xxh64_ranges(joined, starts[head], starts[last] - 1 - starts[head], seed)
-    return _majority(hashes, base)
+    return xxh64_ranges(joined_words(words), starts[head], starts[last] - 1 - starts[head], seed), base
+
+
+def fingerprints(texts: pa.Array, n_words: int, seed: int) -> np.ndarray:
+    """One unsigned 64-bit fingerprint per text; no words give zero."""
+    return _majority(*shingle_hashes(texts, n_words, seed))
 
 
 def _majority(hashes: np.ndarray, base: np.ndarray) -> np.ndarray:
