@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
+from .langid import op7_langid
 from .sharding import op1_sharding
 from .simhash import op9_simhash
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op4_bpe": op4_bpe,
+    "op7_langid": op7_langid,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
