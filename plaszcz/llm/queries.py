@@ -6,11 +6,15 @@ from .bpe import op4_bpe
 from .langid import op7_langid
 from .sharding import op1_sharding
 from .simhash import op9_simhash
+from .suffix import op2_suffix
+from .tokenfile import op5_tokenfile
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_suffix": op2_suffix,
     "op4_bpe": op4_bpe,
+    "op5_tokenfile": op5_tokenfile,
     "op7_langid": op7_langid,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
