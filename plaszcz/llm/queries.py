@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .decontam import op3_decontam
 from .langid import op7_langid
 from .sharding import op1_sharding
 from .simhash import op9_simhash
 from .suffix import op2_suffix
 from .tokenfile import op5_tokenfile
+from .topk import op6_topk
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_suffix": op2_suffix,
+    "op3_decontam": op3_decontam,
     "op4_bpe": op4_bpe,
     "op5_tokenfile": op5_tokenfile,
+    "op6_topk": op6_topk,
     "op7_langid": op7_langid,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
