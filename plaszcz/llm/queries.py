@@ -11,6 +11,7 @@ from .suffix import op2_suffix
 from .tokenfile import op5_tokenfile
 from .topk import op6_topk
 from .toxicity import op10_toxicity
+from .wrappers import op8_wrappers
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_tokenfile": op5_tokenfile,
     "op6_topk": op6_topk,
     "op7_langid": op7_langid,
+    "op8_wrappers": op8_wrappers,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
