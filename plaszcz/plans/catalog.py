@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import identifiers, workflows
+
+QUERIES: dict = {**identifiers.QUERIES, **workflows.QUERIES}
+ORACLES: dict[str, str] = {**identifiers.ORACLES, **workflows.ORACLES}
