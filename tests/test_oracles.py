@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -10,7 +11,7 @@ import pytest
 
 from plaszcz.plans import catalog
 
-DATA = Path("/root/testdata/sf0.001")
+DATA = Path(os.environ.get("ORACLE_DATA", "/root/testdata/sf0.001"))
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")
 
 
