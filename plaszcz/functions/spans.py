@@ -16,11 +16,12 @@ SPANS = f"array<{SPAN}>"
 _HITS = "array<struct<start: int, end: int, raw: string>>"
 
 
-def hits(text: Column, pattern: str, group: int = 0) -> Column:
+def hits(text: Column, pattern: str, group: int = 0, guard: str | None = None) -> Column:
     """array<struct<start, end, raw>> of all matches (or of one group of each), in code points, half open.
 
     The pattern must not match the empty string. With a group, the group's text must be
-    the match's end or else its only occurrence in the match.
+    the match's end or else its only occurrence in the match. guard is a cheaper pattern that
+    every text with a match also matches; texts without it are not searched.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
@@ -41,7 +42,8 @@ def hits(text: Column, pattern: str, group: int = 0) -> Column:
     zipped = F.zip_with(F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), b.alias("b"))), inner, lambda x, g: F.struct(x["m"].alias("m"), x["b"].alias("b"), g.alias("g")))
     real = F.filter(zipped, lambda x: x["m"].isNotNull())
     folded = F.aggregate(real, F.struct(F.lit(0).alias("at"), F.array().cast(_HITS).alias("out")), step)
-    return F.when(text.rlike(pattern), folded["out"]).otherwise(F.array().cast(_HITS))
+    may = text.rlike(pattern) if guard is None else text.rlike(guard) & text.rlike(pattern)
+    return F.when(may, folded["out"]).otherwise(F.array().cast(_HITS))
 
 
 def spans(found: Column, entity_type: str, recognizer: str, score: Callable[[Column], Column]) -> Column:

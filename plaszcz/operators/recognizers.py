@@ -27,7 +27,8 @@ def _digits(raw: Column, separators: str) -> Column:
 
 
 def nip(text: Column) -> Column:
-    found = hits(text, r"(?U)(?<!\d)\d(?:[\s-]?\d){9}(?!\d)")
+    # only ASCII digits validate, so a text without ten of them close together has no NIP
+    found = hits(text, r"(?U)(?<!\d)\d(?:[\s-]?\d){9}(?!\d)", guard=r"[0-9](?:[^0-9A-Za-z]?[0-9]){9}")
     context = ("nip", "n.i.p.", "numer identyfikacji podatkowej")
     return spans(found, "PL_NIP", "nip", lambda h: F.when(chk.nip_valid(_digits(h["raw"], r"(?U)[\s-]")), F.when(near(text, h["start"], context, 200), 0.99).otherwise(0.80)))
 
@@ -72,7 +73,7 @@ def bank_account(text: Column) -> Column:
 
 def phone(text: Column) -> Column:
     """International numbers of +48, and local ones near a word for telephone."""
-    abroad = spans(hits(text, r"(?U)\+48[\s.-]?(?:\d[\s().-]?){9}"), "PHONE_NUMBER", "phone", lambda h: F.lit(0.95))
+    abroad = spans(hits(text, r"(?U)\+48[\s.-]?(?:\d[\s().-]?){9}", guard=r"\+48"), "PHONE_NUMBER", "phone", lambda h: F.lit(0.95))
     found = hits(text, r"(?U)(?<!\d)(?:\d{3}[\s.-]?\d{3}[\s.-]?\d{3}|\d{2}[\s.-]?\d{3}[\s.-]?\d{2}[\s.-]?\d{2})(?!\d)")
     context = ("tel", "telefon", "kom.", "komórka", "kontakt", "fax", "mobile", "tel.")
     # nine digits can be a REGON but neither a NIP nor a PESEL
@@ -104,7 +105,7 @@ def plate(text: Column, prefixes: Sequence[str]) -> Column:
     if not forms:
         return F.array().cast(SPANS)
     edge = "A-ZĄĆĘŁŃÓŚŹŻ0-9"
-    found = hits(text, rf"(?iu)(?<![{edge}])(?:{'|'.join(forms)})(?![{edge}])")
+    found = hits(text, rf"(?iu)(?<![{edge}])(?:{'|'.join(forms)})(?![{edge}])", guard="[A-Za-zſ\u212a]{2}[ \t-]?[A-Za-zſ\u212a]{0,4}[0-9]")
     context = ("nr rejestracyjny", "nr rej.", "rejestracja", "pojazd", "samochód", "tablica")
 
     def score(h: Column) -> Column:
@@ -138,7 +139,7 @@ def organization(text: Column, legal_forms: Sequence[str]) -> Column:
 
 
 def email(text: Column) -> Column:
-    return spans(hits(text, r"(?iU)(?<![\w.+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,63}"), "EMAIL_ADDRESS", "email", lambda h: F.lit(0.98))
+    return spans(hits(text, r"(?iU)(?<![\w.+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,63}", guard="@"), "EMAIL_ADDRESS", "email", lambda h: F.lit(0.98))
 
 
 @dataclass(frozen=True)
