@@ -33,12 +33,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A cut within a character's bytes takes the whole character. Null texts stay null.
     """
 
-    @F.pandas_udf("string")
-    def readable(kept):
-        return kept.map(lambda b: None if b is None else bytes(b).decode(errors="ignore"))
-
-    cut = suffix.remove_repeats(docs)
-    text = F.when(F.col("text").isNull(), None).when(F.size("removed") == 0, F.col("text")).otherwise(readable("kept"))
+    cut = suffix.remove_repeats(docs, readable=True)
+    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
     return cut.withColumn("text", text).withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0).cast("long"))).select(*COLUMNS)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import table
-from .words import slices, texts_of
+from .words import slices, texts_of, tidy
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -313,6 +313,7 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, de
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["token_ids binary", "n_tokens bigint"] + ["decoded_text string"] * decoded)
     columns = [*names, "token_ids", "n_tokens", *["decoded_text"] * decoded]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
@@ -341,6 +342,7 @@ def decode(tokens: DataFrame, ids: str = "token_ids", tokenizer: str | None = No
     names = tokens.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields] + ["decoded_text string"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:

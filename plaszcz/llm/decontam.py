@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .store import table
 from .toxicity import _PUNCTUATION
-from .words import distinct, slices, split_words, texts_of
+from .words import distinct, slices, split_words, texts_of, tidy
 
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 16
@@ -175,10 +175,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
         rows = sorted(items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect(), key=lambda r: (r.i is None, r.i, r.t))
         index = build_index([r.i for r in rows], [r.t for r in rows])
 
+        @tidy
         def run(batches: Iterator[pa.RecordBatch], index: Index = index, more: bool = k > 0) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = texts_of(batch.column(names.index(text)))
-                for a, b in slices(texts, 4_000_000):
+                for a, b in slices(texts, 1_000_000):
                     hits = search_batch(index, texts[a:b], threshold, question, answer)
                     if more:
                         hits = [x + y for x, y in zip(batch.column(len(names))[a:b].to_pylist(), hits, strict=True)]

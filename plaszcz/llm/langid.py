@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .store import discard, stage, table
 from .toxicity import fold
-from .words import distinct, slices, split_words, sums_by_text, texts_of
+from .words import distinct, slices, split_words, sums_by_text, texts_of, tidy
 
 PIECE_BYTES = 32
 #: Bounds of what the network is trained on: labelled documents in the order of a hash of
@@ -203,6 +203,7 @@ def predict(docs: DataFrame, languages: list[str], net: dict, text: str = "text"
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text] + ["lang_pred string", "lang_score double"])
     tags = np.array([*languages, unknown], object)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(len(names)))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .simhash import SLAB_ROWS, _majority, bucket_links, pivot_distances, shingle_hashes, slabs
 from .store import discard, stage
-from .words import slices, texts_of
+from .words import slices, texts_of, tidy
 
 WORDS, REACH, SKETCH, PIVOTS = 5, 14, 8, 16
 
@@ -39,6 +39,7 @@ def _least(hashes: np.ndarray, base: np.ndarray, k: int) -> pa.Array:
 def sketches(df: DataFrame, node: str, text: str) -> DataFrame:
     """(_node, _fp, _keys) of each text: its SimHash and its least shingle hashes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(1))

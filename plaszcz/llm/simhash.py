@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .store import discard, stage, table
-from .words import joined_words, slices, split_words, texts_of
+from .words import joined_words, slices, split_words, texts_of, tidy
 from .xxh import xxh64_ranges
 
 _BITS = np.arange(64, dtype=np.uint64)
@@ -71,6 +71,7 @@ def fingerprint_table(df: DataFrame, text: str = "text", n_words: int = 4, seed:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [f"`{column}` bigint"])
     names = [f.name for f in rest]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(len(names)))

@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import discard, stage, table
-from .words import slices
+from .words import slices, tidy
 from .xxh import xxh64_ranges
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _VALUES = np.random.default_rng(64_200).integers(0, 2**64, 256, dtype=np.uint64)
 #: Surroundings of one rank that one task compares.
 GROUP_ROWS = 20_000
-_PIECE = 1 << 22
+_PIECE = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -208,19 +208,21 @@ def _span_array(spans: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), both)
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 200, group_rows: int = GROUP_ROWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 200, group_rows: int = GROUP_ROWS, readable: bool = False) -> DataFrame:
     """docs with kept (binary: the text's bytes without repeated ones) and removed (spans of bytes, by start).
 
     A byte is removed if a string of `threshold` bytes around it also starts anywhere else
     in any text, its own included; the first occurrence is no exception. Rows are texts of
     their own even if they are equal in all columns. Null and empty texts, and texts shorter
-    than the threshold, keep all their bytes; no rows give no rows. Columns named kept and
-    removed are replaced, others stay.
+    than the threshold, keep all their bytes; no rows give no rows. readable adds kept_text,
+    the kept bytes as a string without characters of which a cut has taken some bytes.
+    Columns named kept, removed and kept_text are replaced, others stay.
     """
     spark = docs.sparkSession
     length = threshold // 2
-    docs = docs.drop("kept", "removed").withColumn("_d", F.coalesce(F.col(doc_id).cast("long"), F.lit(-1).cast("long"))).withColumn("_r", F.xxhash64(text))
+    docs = docs.drop("kept", "removed", "kept_text").withColumn("_d", F.coalesce(F.col(doc_id).cast("long"), F.lit(-1).cast("long"))).withColumn("_r", F.xxhash64(text))
 
+    @tidy
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _bytes_column(batch.column(2))
@@ -230,14 +232,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(at.astype(np.int32)), pa.array(rank.view(np.int64)), pa.array(around.view(np.int64))], ["_d", "_r", "_at", "_h", "_c"])
 
     found, found_path = stage(docs.select("_d", "_r", text).mapInArrow(find, "_d bigint, _r bigint, _at int, _h bigint, _c bigint"), "anchors")
-    again = found.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h")
+    # written first: a join of two plain exchanges can be split where one rank has many anchors
+    again, again_path = stage(found.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h"), "ranks")
     live, live_path = stage(found.join(again, "_h", "left_semi"), "anchors")
-    discard(spark, found_path)
+    discard(spark, found_path, again_path)
 
     # by surroundings: how often, one that stands for all, and which ranks have a lone one
     kinds = live.groupBy("_h", "_c").agg(F.count("*").alias("_n"), F.min(F.struct("_d", "_r", "_at")).alias("_one"))
     kinds, kinds_path = stage(kinds, "surroundings")
-    mixed = kinds.groupBy("_h").agg(F.count("*").alias("_kinds"), F.min("_n").alias("_least")).filter("_least = 1")
+    mixed, mixed_path = stage(kinds.groupBy("_h").agg(F.count("*").alias("_kinds"), F.min("_n").alias("_least")).filter("_least = 1"), "mixed")
     whole = live.join(kinds.filter("_n > 1").select("_h", "_c"), ["_h", "_c"], "left_semi")
     asked = kinds.join(mixed, "_h").select("_one.*", "_h", "_n", (F.col("_kinds") > group_rows).alias("_hot"))
     none = F.lit(None)
@@ -250,29 +253,26 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ask_ddl = "array<struct<h: bigint, base: bigint, left: int, lone: boolean, hot: boolean, around: binary>>"
     base_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
 
+    @tidy
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _bytes_column(batch.column(names.index(text)))
-            lists = batch.column(len(names)).to_pylist()
-            spans, asks = [], []
-            for i, marks_of in enumerate(lists):
-                if not marks_of:
-                    spans.append([])
-                    asks.append([])
-                    continue
-                raw = texts[i].as_buffer()
-                at = np.array([m["_at"] for m in marks_of], np.int64)
-                lo, hi = _surroundings(np.array([0, len(raw)]), at, threshold, length)
-                sure = np.array([m["_h"] is None for m in marks_of])
-                spans.append(merge_spans(lo[sure], hi[sure]))
-                asks.append([
-                    {"h": m["_h"], "base": int(lo[k]), "left": int(at[k] - lo[k]), "lone": m["_n"] == 1, "hot": m["_hot"], "around": bytes(raw[int(lo[k]) : int(hi[k])])}
-                    for k, m in enumerate(marks_of) if m["_h"] is not None
-                ])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], _span_array(spans), pa.array(asks, ask_type)], [*names, "_sure", "_asks"])
+            for a, b in slices(texts, _PIECE):
+                spans, asks = [], []
+                for i, marks_of in enumerate(batch.column(len(names))[a:b].to_pylist(), a):
+                    raw = texts[i].as_buffer()
+                    at = np.array([m["_at"] for m in marks_of or ()], np.int64)
+                    lo, hi = _surroundings(np.array([0, len(raw)]), at, threshold, length)
+                    sure = np.array([m["_h"] is None for m in marks_of or ()], bool)
+                    spans.append(merge_spans(lo[sure], hi[sure]))
+                    asks.append([
+                        {"h": m["_h"], "base": int(lo[k]), "left": int(at[k] - lo[k]), "lone": m["_n"] == 1, "hot": m["_hot"], "around": bytes(raw[int(lo[k]) : int(hi[k])])}
+                        for k, m in enumerate(marks_of or ()) if m["_h"] is not None
+                    ])
+                yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[: len(names)]), _span_array(spans), pa.array(asks, ask_type)], [*names, "_sure", "_asks"])
 
     laid, _ = stage(docs.join(marks, ["_d", "_r"], "left").select(*names, "_marks").mapInArrow(lay_out, f"{base_ddl}, _sure {_SPANS}, _asks {ask_ddl}"), "laid-out")
-    discard(spark, live_path, kinds_path)
+    discard(spark, live_path, kinds_path, mixed_path)
 
     asks = laid.filter(F.size("_asks") > 0).select("_d", "_r", F.explode("_asks").alias("_a")).select("_d", "_r", "_a.*")
     spans, _ = stage(_resolve(asks, threshold, length).groupBy("_d", "_r").agg(F.flatten(F.collect_list("_spans")).alias("_more")), "spans")
@@ -281,29 +281,35 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out_names = [n for n in names if n not in ("_d", "_r")]
     out_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest if f.name in out_names)
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _bytes_column(batch.column(names.index(text)))
-            kept, removed = [], []
-            for i, (sure, more) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)):
-                both = np.array([(s["start"], s["end"]) for s in [*sure, *(more or [])]], np.int64).reshape(-1, 2)
-                runs = merge_spans(both[:, 0], both[:, 1])
-                raw, at, parts = texts[i].as_buffer(), 0, []
-                for a, b in runs:
-                    parts.append(bytes(raw[at:a]))
-                    at = b
-                parts.append(bytes(raw[at : len(raw)]))
-                kept.append(b"".join(parts))
-                removed.append(runs)
-            columns = [batch.column(names.index(n)) for n in out_names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary()), _span_array(removed)], [*out_names, "kept", "removed"])
-
-    return done.unionByName(open_).mapInArrow(cut, f"{out_ddl}, kept binary, removed {_SPANS}")
+            for a, b in slices(texts, _PIECE):
+                kept, removed = [], []
+                both_lists = (batch.column(len(names) + k)[a:b].to_pylist() for k in range(2))
+                for i, (sure, more) in enumerate(zip(*both_lists, strict=True), a):
+                    both = np.array([(s["start"], s["end"]) for s in [*sure, *(more or [])]], np.int64).reshape(-1, 2)
+                    runs = merge_spans(both[:, 0], both[:, 1])
+                    raw, at, parts = texts[i].as_buffer(), 0, []
+                    for start, end in runs:
+                        parts.append(bytes(raw[at:start]))
+                        at = end
+                    parts.append(bytes(raw[at : len(raw)]))
+                    kept.append(b"".join(parts))
+                    removed.append(runs)
+                made = [pa.array(kept, pa.binary()), _span_array(removed)]
+                if readable:
+                    made.append(pa.array([k.decode(errors="ignore") for k in kept], pa.string()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n))[a:b] for n in out_names), *made], [*out_names, "kept", "removed", *["kept_text"] * readable])
+
+    return done.unionByName(open_).mapInArrow(cut, f"{out_ddl}, kept binary, removed {_SPANS}" + ", kept_text string" * readable)
 
 
 def _resolve(asks: DataFrame, threshold: int, length: int) -> DataFrame:
     """(_d, _r, _spans) of the surroundings that occur once but hold strings that do not."""
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_group(batches):
             group, left, base = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("h", "left", "base"))

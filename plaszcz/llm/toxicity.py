@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .simhash import shingle_hashes
 from .store import discard, stage, table
-from .words import distinct, slices, split_words, texts_of
+from .words import distinct, slices, split_words, texts_of, tidy
 
 #: Most labelled documents that the model is fitted on, taken in the order of a hash of doc_id.
 TRAIN_DOCS = 20_000
@@ -167,14 +167,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     known = labels.filter((fold(doc_id) != 0) & F.col(doc_id).isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(doc_id).agg(F.max(label).alias("_toxic")).orderBy(F.xxhash64(doc_id), doc_id).limit(train_docs)
     sample = docs.select(F.col(doc_id), F.col(text).alias("_text")).join(F.broadcast(known), doc_id)  # train_docs rows at most
-    marked = sample.select("_text", F.col("_toxic").cast("int")).mapInArrow(_mark, "_text string, _toxic int, _mark bigint")
+    marked = sample.select("_text", F.col("_toxic").cast("int")).mapInArrow(tidy(_mark), "_text string, _toxic int, _mark bigint")
     apart = marked.groupBy("_mark").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.max("_toxic").alias("_toxic"))
     sample, _ = stage(apart.drop("_mark"), "toxic-sample")
     sizes = dict(sample.groupBy("_toxic").count().collect())
     n1, n0 = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not n1 or not n0:
         return Model((), (), -1.0, 1.0, 1.0, -50.0)
-    counts = sample.select("_text", (F.col("_toxic") == 1).alias("_t")).mapInArrow(_count_tokens, "token string, y1 bigint, y bigint, d1 bigint, d bigint")
+    counts = sample.select("_text", (F.col("_toxic") == 1).alias("_t")).mapInArrow(tidy(_count_tokens), "token string, y1 bigint, y bigint, d1 bigint, d bigint")
     counts, path = stage(counts.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("y1", "y", "d1", "d"))).filter("token <> ''"), "toxic-counts")
     all1, every = counts.filter("NOT endswith(token, '*')").agg(F.sum("y1"), F.sum("y")).first()
     share = n1 / (n1 + n0)
@@ -197,6 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     scores = [math.log(x / z) for x, z in held.values()]
     model = Model(tuple(held), tuple(scores), other, _rate([math.log(x / z) for x, z in roots], [z for _, z in roots], other), 1.0, 0.0)
 
+    @tidy
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, found, n in _best(batches, model):
             x = [_surprise(model, max((s[2] for s in f), default=0.0), k) for f, k in zip(found, n.tolist(), strict=True)]
@@ -252,6 +253,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", significa
     extra = "toxic_score double, toxic boolean, toxic_spans array<struct<start: bigint, end: bigint, score: double, expected: double>>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "_text") + ", " + extra
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, a, b, found, n in _best(batches, model):
             points, spans = [], []

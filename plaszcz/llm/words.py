@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -61,3 +63,29 @@ def joined_words(words: pa.Array) -> bytes:
     """All words with a space between."""
     one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
     return pc.binary_join(one.cast(pa.list_(pa.binary())), b" ")[0].as_buffer().to_pybytes() if len(words) else b""
+
+
+def _settle() -> None:
+    """Give freed memory back; workers that idle between stages otherwise hold their largest batch."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that frees memory after every batch."""
+
+    @wraps(run)
+    def freeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                _settle()
+
+        yield from run(each())
+        _settle()
+
+    return freeing
