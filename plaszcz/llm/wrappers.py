@@ -42,7 +42,7 @@ _CLOSES = {
 }
 _BOILERPLATE = frozenset("nav header footer aside form script style noscript template iframe head menu button select textarea dialog title svg canvas object".split())
 _NOISE = re.compile(
-    r"(?:^|[-_ ])(?:ad|ads|advert\w*|banner|promo\w*|sponsor\w*|cookie\w*|consent|notice\w*|notification|popup|modal|menu|nav\w*|breadcrumb\w*|sidebar\w*|side|footer|header|masthead|"
+    r"(?:^|[-_ ])(?:ad|ads|advert\w*|banner|promo\w*|sponsor\w*|cookie\w*|consent|notice\w*|notification|popup|modal|alert\w*|disclaimer|contentinfo|complementary|menu|nav\w*|breadcrumb\w*|sidebar\w*|side|footer|header|masthead|"
     r"comment\w*|disqus|repl(?:y|ies)|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|widget\w*)(?:$|[-_ ])",
     re.IGNORECASE,
 )
