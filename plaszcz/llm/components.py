@@ -17,14 +17,24 @@ def _signature(links: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+# Minima are written before they are joined: a join of two plain exchanges can be split where one node has most links.
+
+
+def _kept(df: DataFrame, label: str, paths: list[str]) -> DataFrame:
+    table, path = stage(df, label)
+    paths.append(path)
+    return table
+
+
+def _large_star(links: DataFrame, paths: list[str]) -> DataFrame:
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = _kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", paths)
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(links: DataFrame, paths: list[str]) -> DataFrame:
+    links = _kept(links, "stars", paths)
+    least = _kept(links.groupBy("u").agg(F.min("v").alias("m")), "least", paths)
     joined = links.join(least, "u")
     moved = joined.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
@@ -40,8 +50,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     now, path = stage(tidy, "links")
     seen = _signature(now)
     while seen[0]:
-        after, new = stage(_small_star(_large_star(now)).distinct(), "links")
-        discard(spark, path)
+        used = [path]
+        after, new = stage(_small_star(_large_star(now, used), used).distinct(), "links")
+        discard(spark, *used)
         now, path = after, new
         if (sign := _signature(now)) == seen:
             break
