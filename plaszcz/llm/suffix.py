@@ -41,6 +41,8 @@ _VALUES = np.random.default_rng(64_200).integers(0, 2**64, 256, dtype=np.uint64)
 #: Surroundings of one rank that one task compares.
 GROUP_ROWS = 20_000
 _PIECE = 1 << 20
+#: Strings compared at once within the groups that a task holds.
+_WINDOWS = 250_000
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -171,20 +173,26 @@ def repeated_pairs(group: np.ndarray, left: np.ndarray, around: pa.Array, thresh
     sizes = pc.binary_length(around).to_numpy(zero_copy_only=False).astype(np.int64)
     data = np.frombuffer(b"".join(around.to_pylist()), np.uint8)
     begin = np.cumsum(sizes) - sizes
-    rank = ranks(data, length)
+    parts = (ranks(data[a : a + _PIECE // 2 + length - 1], length) for a in range(0, max(1, len(data)), _PIECE // 2))
+    rank = np.concatenate([*parts, np.empty(0, np.uint64)])
     n = np.maximum(sizes - threshold + 1, 0)
-    row = np.repeat(np.arange(len(sizes)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = begin[row] + offset
-    first, second = rank[at], rank[at + threshold - length]
-    distance = (left[row] - offset).astype(np.uint64)
-    scope = _mix(group[row].astype(np.uint64) * np.uint64(1 << 20) + distance)
-    order = np.lexsort((second, first ^ scope))
-    a, b, s = first[order], second[order], scope[order]
-    same = np.zeros(len(order) + 1, bool)
-    same[1:-1] = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (s[1:] == s[:-1])
-    found = order[same[1:] | same[:-1]]
-    return row[found], offset[found]
+    rows, offsets = [], []
+    step = max(1, _WINDOWS // max(1, len(sizes)))
+    for d in range(0, threshold - length + 1, step):  # strings at different distances are never compared
+        distance = np.arange(d, min(d + step, threshold - length + 1))
+        at = left[:, None] - distance
+        row, k = np.nonzero((at >= 0) & (at < n[:, None]))
+        offset = at[row, k]
+        first, second = rank[begin[row] + offset], rank[begin[row] + offset + threshold - length]
+        scope = _mix(group[row].astype(np.uint64) * np.uint64(1 << 20) + distance[k].astype(np.uint64))
+        order = np.lexsort((second, first ^ scope))
+        a, b, s = first[order], second[order], scope[order]
+        same = np.zeros(len(order) + 1, bool)
+        same[1:-1] = (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (s[1:] == s[:-1])
+        found = order[same[1:] | same[:-1]]
+        rows.append(row[found])
+        offsets.append(offset[found])
+    return np.concatenate(rows), np.concatenate(offsets)
 
 
 def _spans_by_row(row: np.ndarray, offset: np.ndarray, base: np.ndarray, n_rows: int, threshold: int) -> list[list[tuple[int, int]]]:
@@ -347,7 +355,7 @@ def _resolve(asks: DataFrame, threshold: int, length: int) -> DataFrame:
     return small.unionByName(large)
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+def _by_group(batches: Iterator[pa.RecordBatch], rows: int = 5_000) -> Iterator[pa.Table]:
     """Rows sorted by h in tables of about `rows` rows that end where a group ends."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
