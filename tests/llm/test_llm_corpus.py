@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from plaszcz.llm import components, decontam, langid, nearcopies, suffix, topk, toxicity, wrappers
+from plaszcz.llm import components, decontam, langid, nearcopies, simhash, suffix, topk, toxicity, wrappers
 
 SCHEMA = "doc_id bigint, text string, kept string, leaks string, lang_pred string, toxic string, main_text string"
 RNG = np.random.default_rng(11)
@@ -97,6 +97,15 @@ def test_near_copies_go_and_others_stay(spark):
     assert nearcopies.drop_near_copies(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_least_hashes_of_repeated_lines():
+    rng = np.random.default_rng(3)
+    texts = ["\n".join([prose(12, rng)] * 60 + [prose(40, rng)]) for _ in range(40)]
+    hashes, base = simhash.shingle_hashes(pa.array(texts), nearcopies.WORDS, 42)
+    keys = nearcopies._least(hashes, base, nearcopies.SKETCH).to_pylist()
+    for k, a, b in zip(keys, base[:-1], base[1:]):
+        assert [x % 2**64 for x in k] == sorted(set(hashes[a:b].tolist()))[: nearcopies.SKETCH]
+
+
 def bm25_brute(index_texts: list[str], passage: list[str]) -> list[float]:
     docs = [decontam.tokens(t) for t in index_texts]
     mean = sum(map(len, docs)) / len(docs)
