@@ -1,15 +1,17 @@
-"""Near copies by similarity of five-word shingles, for filtering: SimHash with pivot tables.
-
-64-bit fingerprints of texts whose shingle sets have a Jaccard similarity of 0.8 lie about
-10 bits apart, rarely more than 14 (measured: none of 293 such pairs), which is too far for
-blocks of equal bits. Here the buckets are a text's least shingle hashes: of two texts of
-similarity 0.8 or more, all but about one pair in 10**5 share one of their 8 least. Within
-a bucket the pivot distance tables discard pairs and the differing bits of the survivors are
-counted, as in simhash. Texts that share neither shingles nor bits are never linked.
+"""Near copies by Jaccard similarity of five-word shingle sets, for filtering: SimHash finds, sets decide.
+
+Buckets are a text's least distinct shingle hashes: of two texts of similarity 0.8 or more, all
+but about one pair in 10**5 share one of their 8 least. Within a bucket a pair is a candidate
+if its set sizes allow 0.8 and its fingerprints differ in at most REACH bits; fingerprints are
+of the distinct shingles. At a similarity of 0.8 the distance is about binomial(64, 0.151), so
+about 3 pairs in 10**6 lie further apart; fingerprints of small sets vary more and are not
+asked. Pivot distances discard pairs before bits are counted. Rows that have a candidate get
+their whole sets, and texts are linked where the sets themselves are similar.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .simhash import SLAB_ROWS, _majority, bucket_links, pivot_distances, shingle_hashes, slabs
+from .simhash import _SHIFT_ROWS, SLAB_ROWS, _majority, pivot_distances, shingle_hashes
 from .store import discard, stage
 from .words import slices, texts_of, tidy
 
-WORDS, REACH, SKETCH, PIVOTS = 5, 14, 8, 16
+WORDS, REACH, SKETCH, PIVOTS = 5, 24, 8, 4
+#: Sets of up to so many shingles are compared whatever their fingerprints.
+SMALL = 16
+#: Shingles that are compared at a time.
+_AT_ONCE = 1_000_000
+
+
+def distinct_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text, ascending, and each text's first."""
+    hashes, base = shingle_hashes(texts, WORDS, 42)
+    parts = [np.unique(hashes[a:b]) for a, b in zip(base[:-1], base[1:], strict=True)]
+    return np.concatenate([np.empty(0, np.uint64), *parts]), np.cumsum([0, *map(len, parts)])
 
 
 def _least(hashes: np.ndarray, base: np.ndarray, k: int) -> pa.Array:
@@ -34,73 +47,221 @@ def _least(hashes: np.ndarray, base: np.ndarray, k: int) -> pa.Array:
 
 
 def sketches(df: DataFrame, node: str, text: str) -> DataFrame:
-    """(_node, _fp, _keys) of each text: its SimHash and its least shingle hashes."""
+    """(_node, _fp, _size, _keys) of each text: SimHash, number and least hashes of its distinct shingles."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch.column(1))
             for a, b in slices(texts, 2_000_000):
-                hashes, base = shingle_hashes(texts[a:b], WORDS, 42)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(_majority(hashes, base).view(np.int64)), _least(hashes, base, SKETCH)], ["_node", "_fp", "_keys"])
+                hashes, base = distinct_shingles(texts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(_majority(hashes, base).view(np.int64)), pa.array(np.diff(base)), _least(hashes, base, SKETCH)], ["_node", "_fp", "_size", "_keys"])
 
-    return df.select(node, text).mapInArrow(run, "_node bigint, _fp bigint, _keys array<bigint>")
+    return df.select(node, text).mapInArrow(run, "_node bigint, _fp bigint, _size bigint, _keys array<bigint>")
 
 
-def _links(dealt: DataFrame, slab_rows: int = SLAB_ROWS) -> DataFrame:
-    """dealt (_key, _fp, _node) -> links (u, v) of nodes within REACH bits in a bucket."""
-    sizes, _ = stage(dealt.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > slab_rows), "buckets")
-    hot = bool(sizes.limit(1).count())
-    dealt = dealt.join(sizes, "_key", "left") if hot else dealt.withColumn("_n", F.lit(None).cast("long"))
+def shingle_sets(df: DataFrame, node: str, text: str) -> DataFrame:
+    """(_node, _set) of each text: its distinct shingle hashes, ascending as unsigned numbers."""
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, fp, node, n = (c.fill_null(0).to_numpy() for c in batch.columns)
-            rows, cell = np.arange(len(fp)), np.zeros(len(fp), np.int64)
-            distance = pivot_distances(fp.view(np.uint64), PIVOTS).astype(np.int64)
-            for p in range(PIVOTS):
-                deep = n[rows] > slab_rows << p
-                if not deep.any():
-                    break
-                parts = [(rows[~deep], cell[~deep])]
-                parts += [(rows[deep][r], cell[deep][r] * 8 + s + 1) for r, s in slabs(distance[rows[deep], p], REACH)]
-                rows, cell = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[rows], cell, fp[rows], node[rows])], ["_key", "_cell", "_fp", "_node"])
-
-    if hot:
-        dealt = dealt.select("_key", "_fp", "_node", "_n").mapInArrow(cells, "_key bigint, _cell bigint, _fp bigint, _node bigint")
+            texts = texts_of(batch.column(1))
+            for a, b in slices(texts, 2_000_000):
+                hashes, base = distinct_shingles(texts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.ListArray.from_arrays(pa.array(base, pa.int32()), pa.array(hashes.view(np.int64)))], ["_node", "_set"])
+
+    return df.select(node, text).mapInArrow(run, "_node bigint, _set array<bigint>")
+
+
+def _possible(i, j, fp: np.ndarray, size: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Whether sizes and fingerprints of rows i and j allow a similarity of 0.8."""
+    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    near = np.abs(pivots[i] - pivots[j]).max(axis=-1) <= REACH
+    near &= np.bitwise_count(fp[i] ^ fp[j]) <= REACH
+    return (5 * low >= 4 * high) & (near | (low <= SMALL))
+
+
+def _split(bucket: np.ndarray) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], list[tuple[int, int]]]:
+    """Pairs of rows of small buckets, a shift at a time, and the ranges of the large ones; bucket is sorted."""
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(bucket)])))
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rows, shift = np.flatnonzero(np.repeat(sizes, sizes) <= _SHIFT_ROWS), 1
+        while rows.size:
+            rows = rows[rows + shift < len(bucket)]
+            rows = rows[bucket[rows + shift] == bucket[rows]]
+            yield rows, rows + shift
+            shift += 1
+
+    return pairs(), [(int(s), int(s + n)) for s, n in zip(starts, sizes, strict=True) if n > _SHIFT_ROWS]
+
+
+def paired(bucket: np.ndarray, fp: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each row is a candidate with another row of its bucket."""
+    pivots, out = pivot_distances(fp, PIVOTS).astype(np.int16), np.zeros(len(fp), bool)
+    pairs, large = _split(bucket)
+    for i, j in pairs:
+        ok = _possible(i, j, fp, size, pivots)
+        out[i[ok]] = out[j[ok]] = True
+    for a, b in large:
+        for i in range(a, b - 1):
+            if out[i : b].all():
+                break
+            j = i + 1 + np.flatnonzero(_possible(i, slice(i + 1, b), fp, size, pivots))
+            out[j] = True
+            out[i] |= bool(j.size)
+    return out
+
+
+class _Sets:
+    """Hash sets of rows, one after another and each ascending, to be intersected."""
+
+    def __init__(self, flat: np.ndarray, base: np.ndarray) -> None:
+        names, ids = np.unique(flat, return_inverse=True)
+        self.base, self.size, self.ids, self.n = base, np.diff(base), ids.astype(np.int64), max(1, len(names))
+        self.keys = np.repeat(np.arange(len(self.size)), self.size) * self.n + self.ids
+        self.mark = np.zeros(self.n, bool)
+
+    def _elements(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[rows]
+        owner = np.repeat(np.arange(len(rows)), size)
+        return owner, self.ids[np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + self.base[rows][owner]]
+
+    def _chunks(self, rows: np.ndarray) -> Iterator[tuple[int, int]]:
+        total = np.concatenate(([0], np.cumsum(self.size[rows])))
+        a = 0
+        while a < len(rows):
+            b = max(a + 1, int(np.searchsorted(total, total[a] + _AT_ONCE, side="right")) - 1)
+            yield a, b
+            a = b
+
+    def _similar(self, one, other, shared: np.ndarray) -> np.ndarray:
+        return 5 * shared >= 4 * (self.size[one] + self.size[other] - shared)
+
+    def similar_pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether the Jaccard similarity of each pair's sets is at least 0.8."""
+        out = np.zeros(len(i), bool)
+        for a, b in self._chunks(i):
+            owner, ids = self._elements(i[a:b])
+            want = j[a:b][owner] * self.n + ids
+            at = np.minimum(np.searchsorted(self.keys, want), max(0, len(self.keys) - 1))
+            shared = np.bincount(owner[self.keys[at] == want], minlength=b - a)
+            out[a:b] = self._similar(i[a:b], j[a:b], shared)
+        return out
+
+    def similar_to(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Whether the similarity of row i and each of rows j is at least 0.8."""
+        out, own = np.zeros(len(j), bool), self.ids[self.base[i] : self.base[i + 1]]
+        self.mark[own] = True
+        for a, b in self._chunks(j):
+            owner, ids = self._elements(j[a:b])
+            out[a:b] = self._similar(i, j[a:b], np.bincount(owner[self.mark[ids]], minlength=b - a))
+        self.mark[own] = False
+        return out
+
+
+def verified_links(bucket: np.ndarray, fp: np.ndarray, flat: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rows i, j) of similar sets that connect what candidates connect within each bucket; bucket is sorted."""
+    sets, pivots = _Sets(flat, base), pivot_distances(fp, PIVOTS).astype(np.int16)
+    pairs, large = _split(bucket)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, j in pairs:
+        ok = _possible(i, j, fp, sets.size, pivots)
+        i, j = i[ok], j[ok]
+        ok = sets.similar_pairs(i, j)
+        left.append(i[ok])
+        right.append(j[ok])
+    for a, b in large:  # a spanning forest, breadth first
+        rest = np.arange(a, b)
+        while rest.size:
+            front, rest = [int(rest[0])], rest[1:]
+            while front:
+                i = front.pop()
+                at = np.flatnonzero(_possible(i, rest, fp, sets.size, pivots))
+                at = at[sets.similar_to(i, rest[at])] if at.size else at
+                if at.size:
+                    j, rest = rest[at], np.delete(rest, at)
+                    front.extend(j.tolist())
+                    left.append(np.full(len(j), i))
+                    right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _dealt(drawn: DataFrame, slab_rows: int) -> DataFrame:
+    """(_key, _cell, _fp, _size, _node) with buckets of more than slab_rows rows cut by set size.
+
+    A row of such a bucket stands in its size's slab and the one below; sizes that allow a
+    similarity of 0.8 are at most one slab apart.
+    """
+    dealt = drawn.select(F.explode("_keys").alias("_key"), "_fp", "_size", "_node")
+    sizes, _ = stage(dealt.groupBy("_key").agg(F.count("*").alias("_n")).filter(F.col("_n") > slab_rows), "buckets")
+    whole = F.array(F.lit(0).cast("long"))
+    if sizes.limit(1).count():
+        slab = F.floor(F.log(F.greatest("_size", F.lit(1)).cast("double")) / math.log(1.26))
+        dealt = dealt.join(sizes, "_key", "left").withColumn("_cells", F.when(F.col("_n").isNull(), whole).otherwise(F.array(slab, slab - 1)))
     else:
-        dealt = dealt.withColumn("_cell", F.lit(0).cast("long")).select("_key", "_cell", "_fp", "_node")
-    dealt = dealt.repartition("_key", "_cell").sortWithinPartitions("_key", "_cell")
+        dealt = dealt.withColumn("_cells", whole)
+    return dealt.select("_key", F.explode("_cells").alias("_cell"), "_fp", "_size", "_node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, cell, fp, node in _whole_buckets(batches):
-            new = np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
-            i, j = bucket_links(new, fp.view(np.uint64), REACH, PIVOTS)
+
+def _links(drawn: DataFrame, marked: DataFrame, text: str, slab_rows: int = SLAB_ROWS) -> DataFrame:
+    """drawn (_node, _fp, _size, _keys), marked (_node and text) -> links (u, v) of similar nodes."""
+
+    @tidy
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _whole_buckets(batches, 50_000):
+            fp, size = (rows.column(c).to_numpy() for c in ("_fp", "_size"))
+            keep = paired(bucket, fp.view(np.uint64), size)
+            yield from rows.select(["_key", "_cell", "_fp", "_node"]).filter(pa.array(keep)).to_batches()
+
+    rows = _dealt(drawn, slab_rows).repartition("_key", "_cell").sortWithinPartitions("_key", "_cell")
+    picked, _ = stage(rows.mapInArrow(pick, "_key bigint, _cell bigint, _fp bigint, _node bigint"), "paired")
+    # both sides are dealt by node, so texts move once
+    texts = marked.select("_node", text).dropDuplicates(["_node"]).join(picked.select("_node").distinct(), "_node", "left_semi")
+    sets = shingle_sets(texts, "_node", text)
+    full = picked.join(sets, "_node").select("_key", "_cell", "_fp", "_node", "_set")
+    full = full.repartition("_key", "_cell").sortWithinPartitions("_key", "_cell")
+
+    @tidy
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _whole_buckets(batches, 50_000):
+            fp, node = (rows.column(c).to_numpy() for c in ("_fp", "_node"))
+            lists = rows.column("_set").combine_chunks()
+            base = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))))
+            i, j = verified_links(bucket, fp.view(np.uint64), lists.flatten().to_numpy().view(np.uint64), base)
             yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["u", "v"])
 
-    return dealt.mapInArrow(run, "u bigint, v bigint")
+    return full.mapInArrow(verify, "u bigint, v bigint")
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch], most_rows: int) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Sorted rows in runs of some most_rows, or 8 MB, that end where a bucket ends: (bucket number, rows)."""
 
+    def numbered(rows: pa.Table) -> np.ndarray:
+        key, cell = rows.column("_key").to_numpy(), rows.column("_cell").to_numpy()
+        return np.concatenate(([0], np.cumsum((key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
 
-def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Sorted rows in runs of some 50 000 that end where a bucket ends."""
-    held: list[tuple[np.ndarray, ...]] = []
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        held.append(tuple(c.to_numpy() for c in batch.columns))
-        if sum(len(x[0]) for x in held) >= 50_000:
-            rows = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-            ends = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
-            end = int(ends[-1]) + 1 if ends.size else 0
+        for a in range(0, batch.num_rows, 1000):
+            held.append(batch.slice(a, 1000))
+            if sum(x.num_rows for x in held) < most_rows and sum(x.nbytes for x in held) < 8 * _AT_ONCE:
+                continue
+            rows = pa.Table.from_batches(held)
+            bucket = numbered(rows)
+            end = int(np.searchsorted(bucket, bucket[-1]))
             if end:
-                yield tuple(x[:end] for x in rows)
-            held = [tuple(x[end:] for x in rows)]
-    rows = tuple(np.concatenate(x) for x in zip(*held, strict=True)) if held else ()
-    if rows and len(rows[0]):
-        yield rows
+                yield bucket[:end], rows.slice(0, end)
+            held = rows.slice(end).combine_chunks().to_batches()
+    rows = pa.Table.from_batches(held) if held else None
+    if rows is not None and rows.num_rows:
+        yield numbered(rows), rows
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of exact and near copies: that of the least doc_id.
+    """One row of each group of exact copies and of texts linked at a similarity of 0.8: that of the least doc_id.
 
     Null ids come last; of rows with one id and one group, one stays. Null texts count as
     empty, empty texts as copies of each other. All columns stay as they are.
@@ -109,8 +270,7 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     marked = docs.withColumn("_node", node)
     drawn, drawn_path = stage(sketches(marked, "_node", text).dropDuplicates(["_node"]), "sketches")
-    dealt = drawn.select(F.explode("_keys").alias("_key"), "_fp", "_node")
-    links, links_path = stage(_links(dealt).distinct(), "near")
+    links, links_path = stage(_links(drawn, marked, text).distinct(), "near")
     roots, _ = stage(connected_components(links), "roots")
     discard(spark, links_path, drawn_path)
     order = F.coalesce(F.col(doc_id), F.lit(2**63 - 1))

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from plaszcz.llm import components, decontam, langid, nearcopies, simhash, suffix, topk, toxicity, wrappers
 
@@ -106,6 +107,39 @@ def test_least_hashes_of_repeated_lines():
         assert [x % 2**64 for x in k] == sorted(set(hashes[a:b].tolist()))[: nearcopies.SKETCH]
 
 
+@pytest.mark.parametrize("slab_rows", [4096, 20])
+def test_near_copies_by_jaccard_of_shingles(spark, slab_rows):
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(40):  # pairs from about 0.45 to 0.95, some of repeated lines
+        w = prose(120, rng).split()
+        v = list(w)
+        for at in range(2, 2 + 12 * (1 + k % 5) // 2, 6):
+            v[at] = "other"
+        lines = " ".join(w[:30])
+        texts += [" ".join(w), " ".join(v)] if k % 4 else [" ".join(w), " ".join(w) + (" " + lines) * 40]
+    texts += [prose(60, rng) + " " + " ".join(WORDS[:60]) for _ in range(60)]  # a common passage, a large bucket
+    texts += [" ".join([*WORDS[100 + i : 104 + i]]) for i in range(3)] + ["", "  "]
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    similar = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])}
+    root = list(range(len(texts)))
+    for i, j in sorted(similar):
+        old, new = max(root[i], root[j]), min(root[i], root[j])
+        root = [new if r == old else r for r in root]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    marked = docs.select("doc_id", F.xxhash64("text").alias("_node"), "text")
+    ids = {r._node: r.doc_id for r in marked.collect()}
+    links = nearcopies._links(nearcopies.sketches(marked, "_node", "text"), marked, "text", slab_rows)
+    got = {tuple(sorted((ids[r.u], ids[r.v]), reverse=True)) for r in links.collect()}
+    assert got == similar
+    assert {r.doc_id for r in nearcopies.drop_near_copies(docs).collect()} == set(root)
+
+
 def bm25_brute(index_texts: list[str], passage: list[str]) -> list[float]:
     docs = [decontam.tokens(t) for t in index_texts]
     mean = sum(map(len, docs)) / len(docs)
