@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .nearcopies import _Sets, _whole_buckets, distinct_shingles
 from .simhash import shingle_hashes
 from .store import discard, stage, table
 from .words import distinct, slices, split_words, texts_of, tidy
@@ -98,7 +99,7 @@ def text_segments(positions: np.ndarray, scores: np.ndarray, other: float) -> li
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least hash of a text's 5-word shingles: near copies mostly share it, other texts do not."""
+    """The least hash of a text's 5-word shingles, which near copies mostly share."""
     for batch in batches:
         texts = texts_of(batch.column(0))
         for a, b in slices(texts, 2_000_000):
@@ -107,7 +108,23 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.flatnonzero(np.diff(base))
             if full.size:
                 least[full] = np.minimum.reduceat(hashes, base[full])
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(least.view(np.int64))], ["_text", "_toxic", "_mark"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(least.view(np.int64))], ["_text", "_cell", "_key"])
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_text, _toxic) without copies: texts of one mark and label whose shingle sets are similar by 0.8 to one that stays."""
+    for bucket, rows in _whole_buckets(batches, 50_000):
+        sets = _Sets(*distinct_shingles(texts_of(rows.column("_text"))))
+        keep = np.ones(len(bucket), bool)
+        starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        for a, b in zip(starts, [*starts[1:], len(bucket)], strict=True):
+            rest = np.arange(a, b)
+            while rest.size > 1:
+                same = sets.similar_to(int(rest[0]), rest[1:])
+                keep[rest[1:][same]] = False
+                rest = rest[1:][~same]
+        kept = rows.filter(pa.array(keep))
+        yield from kept.select(["_text", "_cell"]).rename_columns(["_text", "_toxic"]).to_batches()
 
 
 def _parts(tokens: pa.Array) -> list[pa.Array]:
@@ -160,16 +177,16 @@ def _surprise(model: Model, score: float, n: int) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", train_docs: int = TRAIN_DOCS) -> Model:
-    """Learn from labelled documents whose fold is not 0; of near copies, one counts.
+    """Learn from labelled documents whose fold is not 0; of near copies with one label, one counts.
 
     Without toxic examples, or without others, no token is held and every score is 0.
     """
     known = labels.filter((fold(doc_id) != 0) & F.col(doc_id).isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(doc_id).agg(F.max(label).alias("_toxic")).orderBy(F.xxhash64(doc_id), doc_id).limit(train_docs)
     sample = docs.select(F.col(doc_id), F.col(text).alias("_text")).join(F.broadcast(known), doc_id)  # train_docs rows at most
-    marked = sample.select("_text", F.col("_toxic").cast("int")).mapInArrow(tidy(_mark), "_text string, _toxic int, _mark bigint")
-    apart = marked.groupBy("_mark").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.max("_toxic").alias("_toxic"))
-    sample, _ = stage(apart.drop("_mark"), "toxic-sample")
+    marked = sample.select("_text", F.col("_toxic").cast("int")).mapInArrow(tidy(_mark), "_text string, _cell int, _key bigint")
+    dealt = marked.repartition("_key", "_cell").sortWithinPartitions("_key", "_cell", F.xxhash64("_text"), "_text")
+    sample, _ = stage(dealt.mapInArrow(tidy(_apart), "_text string, _toxic int"), "toxic-sample")
     sizes = dict(sample.groupBy("_toxic").count().collect())
     n1, n0 = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not n1 or not n0:

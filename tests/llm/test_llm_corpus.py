@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -295,6 +296,25 @@ def test_toxicity_of_held_out_rows(spark):
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
 
 
+def test_toxic_texts_that_share_a_passage_count_each(spark):
+    rng = np.random.default_rng(21)
+    shared = prose(60, rng)
+    bad = [shared + " vile " + prose(9, rng) for _ in range(14)]
+    rows = [*bad, *(shared + " " + prose(10, rng) for _ in range(20)), *(prose(70, rng) for _ in range(120))]
+    rows += [bad[0]] * 30 + [rows[20]] * 30 + [bad[1]]  # copies, which count once in a label
+    labels = [(i, int(i < 14 or t == bad[0])) for i, t in enumerate(rows)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)
+    kept, path = [], toxicity.stage
+    try:
+        toxicity.stage = lambda df, label: kept.append(path(df, label)) or kept[-1]
+        model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    finally:
+        toxicity.stage = path
+    assert "vile" in model.tokens
+    known = {(t, y) for (i, t), (_, y) in zip(enumerate(rows), labels, strict=True) if zlib.crc32(str(i).encode()) % 5}
+    assert Counter((r._text, r._toxic) for r in kept[0][0].collect()) == Counter(known)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body><div class="cookie-notice">We use cookies</div>
 <nav><ul>{menu}</ul></nav><div class="ad">Buy {n}</div><article><h1>Head {n}</h1>{body}<div class="share-box">Share</div></article><aside><p>Side</p></aside>
 <section id="comments"><p>First! {n}</p></section><form><p>Mail</p><input name=x></form><footer>&copy; {n}</footer></body></html>"""
