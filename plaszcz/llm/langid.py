@@ -4,7 +4,7 @@ The network reads the bytes of one word at a time in both directions and gives e
 position a distribution over the languages; a text's distribution is the mean over all its
 positions. Because a word's positions depend on the word alone, each distinct word of a
 batch runs through the network once and counts as often as it occurs. Words over
-PIECE_BYTES bytes are read in pieces. Training is backpropagation through time in numpy,
+PIECE_BYTES bytes are learned and read in pieces, cut between characters. Training is backpropagation through time in numpy,
 on the driver, over a bounded sample of distinct words of labelled documents.
 """
 
@@ -25,9 +25,9 @@ from .words import distinct, slices, split_words, sums_by_text, texts_of, tidy
 PIECE_BYTES = 32
 #: Bounds of what the network is trained on: labelled documents in the order of a hash of
 #: doc_id, then distinct (word, language) pairs of these in the order of a hash, for each language.
+#: A language that these documents do not show is learned from up to as many of its own.
 TRAIN_DOCS = 10_000
 TRAIN_WORDS_PER_LANGUAGE = 4_000
-MOST_LANGUAGES = 64
 HIDDEN = 12
 _GATES = ("f", "b")
 
@@ -136,16 +136,44 @@ def train(words: list[bytes], labels: np.ndarray, n_languages: int, epochs: int
     return net
 
 
+def _cuts(word: bytes) -> list[int]:
+    """Where a word's pieces of at most PIECE_BYTES begin, on character bounds, and where the last ends."""
+    out = [0]
+    while out[-1] < len(word):
+        end = min(out[-1] + PIECE_BYTES, len(word))
+        while end < len(word) and word[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(end)
+    return out
+
+
 def _pieces(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All bytes of the words; start, size and word of each piece."""
     sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.cumsum(sizes)
-    data = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8)
-    parts = -(-sizes // PIECE_BYTES)
-    owner = np.repeat(np.arange(len(sizes)), parts)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = (ends - sizes)[owner] + nth * PIECE_BYTES
-    return data, start, np.minimum(ends[owner] - start, PIECE_BYTES), owner
+    head = np.cumsum(sizes) - sizes
+    data = b"".join(words.cast(pa.binary()).to_pylist())
+    short = np.flatnonzero((sizes > 0) & (sizes <= PIECE_BYTES))
+    start, size, owner = [head[short]], [sizes[short]], [short]
+    for i in np.flatnonzero(sizes > PIECE_BYTES):
+        cuts = np.array(_cuts(data[head[i] : head[i] + sizes[i]]))
+        start.append(head[i] + cuts[:-1])
+        size.append(np.diff(cuts))
+        owner.append(np.full(len(cuts) - 1, i))
+    return np.frombuffer(data, np.uint8), np.concatenate(start), np.concatenate(size), np.concatenate(owner)
+
+
+def _in_pieces(words: pa.Array, owner: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words' pieces, as words, and the owner of each."""
+    long = pc.greater(pc.binary_length(words), PIECE_BYTES).to_numpy(zero_copy_only=False)
+    if not long.any():
+        return words, owner
+    parts, whose = [], []
+    for i in np.flatnonzero(long):
+        word = words[i].as_py().encode()
+        cuts = _cuts(word)
+        parts += [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        whose += [owner[i]] * (len(cuts) - 1)
+    return pa.concat_arrays([words.filter(pa.array(~long)), pa.array(parts, pa.binary()).cast(pa.string())]), np.concatenate([owner[~long], np.array(whose, np.int64)])
 
 
 def word_scores(net: dict, words: pa.Array, batch: int = 8192) -> np.ndarray:
@@ -166,29 +194,37 @@ def word_scores(net: dict, words: pa.Array, batch: int = 8192) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> tuple[list[str], dict]:
-    """Languages and network from documents with a language whose fold is not 0."""
+    """Languages and network from documents with a language whose fold is not 0; every language with a lettered word is learned."""
     known = docs.filter((fold(doc_id) != 0) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     ids = known.select(doc_id).filter(F.col(doc_id).isNotNull()).distinct().orderBy(F.xxhash64(doc_id), doc_id).limit(TRAIN_DOCS)
     sample = known.join(F.broadcast(ids), doc_id)  # TRAIN_DOCS rows at most
+    names = [r[0] for r in known.select(lang).distinct().orderBy(lang).collect()]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, langs = texts_of(batch.column(0)), batch.column(1)
             for a, b in slices(texts, 4_000_000):
                 words, first = split_words(texts[a:b])
-                owner = np.repeat(np.arange(b - a), np.diff(first))
+                words, owner = _in_pieces(words, np.repeat(np.arange(b - a), np.diff(first)))
                 yield pa.table({"word": words, "lang": langs[a:b].take(pa.array(owner))}).group_by(["word", "lang"]).aggregate([]).combine_chunks().to_batches()[0] if len(words) else pa.RecordBatch.from_pydict({"word": pa.array([], pa.string()), "lang": pa.array([], pa.string())})
 
-    seen = sample.select(text, lang).mapInArrow(pairs, "word string, lang string").distinct()
-    seen = seen.filter(F.col("word").rlike(r"\p{L}") & (F.octet_length("word") <= PIECE_BYTES))
-    seen, path = stage(seen, "langid-words")
-    languages = [r[0] for r in seen.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES).collect()]
+    def lettered(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col(text), F.col(lang)).mapInArrow(pairs, "word string, lang string").distinct().filter(F.col("word").rlike(r"\p{L}"))
+
+    seen, *paths = stage(lettered(sample), "langid-words")
+    shown = {r[0] for r in seen.select("lang").distinct().collect()}
+    for name in names:
+        if name not in shown:  # rarer than the sample shows
+            more = known.filter(F.col(lang) == name).orderBy(F.xxhash64(doc_id), doc_id).limit(TRAIN_DOCS)
+            more, path = stage(lettered(more), "langid-words")
+            seen, paths = seen.union(more), [*paths, path]
+    languages = [r[0] for r in seen.select("lang").distinct().orderBy("lang").collect()]
     words, labels = [], []
     for i, name in enumerate(languages):
         rows = seen.filter(F.col("lang") == name).orderBy(F.xxhash64("word"), "word").limit(TRAIN_WORDS_PER_LANGUAGE).collect()
         words += [r.word.encode() for r in rows]
         labels += [i] * len(rows)
-    discard(docs.sparkSession, path)
+    discard(docs.sparkSession, *paths)
     return languages, train(words, np.array(labels, np.int64), max(1, len(languages)))
 
 

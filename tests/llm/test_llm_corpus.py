@@ -241,6 +241,23 @@ def test_languages_of_held_out_rows(spark):
     assert langid.predict(none, languages, net).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    han, kana = [chr(x) for x in range(0x4E00, 0x4E40)], [chr(x) for x in range(0x3041, 0x3081)]
+    unbroken = [(i, "".join(rng.choice(signs, 90)), lang) for i, (signs, lang) in enumerate([(han, "zh"), (kana, "ja")] * 60)]
+    rows = unbroken + [(1000 + 8 * k + i, f"word{k} lang{k} more{k}", f"l{k:02}") for k in range(70) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 150)
+    languages, _ = langid.fit(docs)
+    assert languages == sorted({lang for *_, lang in rows})
+    docs = spark.createDataFrame(unbroken, "doc_id bigint, text string, lang string").repartition(3)
+    languages, net = langid.fit(docs)
+    out = langid.predict(docs, languages, net).filter(langid.fold() == 0).collect()
+    assert languages == ["ja", "zh"] and out and all(r.lang_pred == r.lang for r in out)
+    data, start, size, owner = langid._pieces(pa.array(["a" + "ż" * 40, "", "b"]))
+    assert [(bytes(data[a : a + n]).decode(), w) for a, n, w in sorted(zip(start.tolist(), size.tolist(), owner.tolist()))] == [("a" + "ż" * 15, 0), ("ż" * 16, 0), ("ż" * 9, 0), ("b", 2)]
+
+
 def brute_segments(s: list[float]) -> list[tuple[int, int]]:
     """Ruzzo and Tompa by definition: the best segment, the least of equals from the left, then either side of it."""
 
