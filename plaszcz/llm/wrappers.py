@@ -1,21 +1,24 @@
 """Main text of web pages through wrappers inferred from pages of the same host.
 
 A wrapper is a union-free regular expression over a page's tokens (tags and texts), as in
-road-runner inference (Crescenzi, Mecca and Merialdo, 2001). It begins as the first page of
-a host's sample and is aligned with one page after another: runs that repeat become
+road-runner inference (Crescenzi, Mecca and Merialdo, 2001). Pages of a host with the same
+paths of labels form a template. Its wrapper begins as one page and is aligned with every
+other, per partition and then the partitions' wrappers with each other: runs that repeat become
 repeated groups, tokens that only one side has become optional, and texts that differ
 become slots. Streams are aligned level by level, in the nesting that HTML's implied end
 tags give. The wrapper's main region is its article, or else the part that most of the
 text in slots goes through; a page's text is what it has in that region, apart from
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments,
-and apart from texts that the region repeats on every page of the sample.
+and apart from texts of the region that stand on every page of the host.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import json
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .store import stage, table
 
-#: Pages of a host that its wrapper is inferred from, those with the least hashes.
-SAMPLE_PAGES = 8
+#: Wrappers that a task holds before it passes them on.
+HELD_WRAPPERS = 2_000
 #: Wrapper tables up to so many bytes are broadcast, larger ones joined by host.
 BROADCAST_BYTES = 32 << 20
 DEPTH = 120
@@ -241,8 +244,10 @@ def main_region(wrapper: Part, n_pages: int) -> dict:
             continue
         stack += [(c, path if c.label == "()" else [*path, c.label]) for c in part.children]
     if found:
-        _, path, part = max(found, key=lambda x: x[0])
-        return {"path": path, "drop": []}
+        weights: dict[tuple, float] = {}
+        for weight, path, _ in found:
+            weights[tuple(path)] = weights.get(tuple(path), 0.0) + weight
+        return {"path": list(max(sorted(weights), key=weights.__getitem__)), "drop": []}
     part, path = wrapper, []
     while True:
         useful = [(c.weight, c) for c in part.children if not c.noisy and c.label != "#"]
@@ -276,12 +281,26 @@ def regions(root: Node, path: list[str]) -> list[Node]:
     return level
 
 
-def extract(page: str, region: dict | None) -> str:
-    """The page's main text; a page that does not fit its host's wrapper is its own sample."""
+def signature(root: Node) -> str:
+    """Name of a page's template: the set of its paths of labels, up to articles and boilerplate."""
+    paths: set[str] = set()
+    stack = [(root, "")]
+    while stack:
+        node, path = stack.pop()
+        if node.label != "#":
+            path = f"{path} {node.label}"
+            paths.add(path)
+            if not node.noisy and not _is_article(node.label):
+                stack += [(c, path) for c in node.children]
+    text = "\n".join(sorted(paths)).encode()
+    return f"{zlib.crc32(text):08x}{zlib.adler32(text):08x}"
+
+
+def extract(page: str, templates: dict | None) -> str:
+    """The page's main text by the region of its template; a page without one is its own sample."""
     root = parse(page)
-    found = regions(root, region["path"]) if region else []
-    drop = frozenset(region["drop"]) if region else frozenset()
-    blocks = _blocks(found, drop)
+    region = (templates or {}).get(signature(root))
+    blocks = _blocks(regions(root, region["path"]), frozenset(region["drop"])) if region else []
     if not blocks:
         own = main_region(from_page(root), 1)
         blocks = _blocks(regions(root, own["path"]), frozenset())
@@ -306,26 +325,72 @@ def _host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html", sample: int = SAMPLE_PAGES) -> DataFrame:
-    """(_host, region JSON, wrapper) of every host, from a sample of its pages.
+@dataclass
+class Host:
+    """What pages of a host show: a wrapper of each template, texts that stand on all, and up to three different pages."""
+
+    wrappers: dict[str, Part] = field(default_factory=dict)
+    common: set[str] | None = None
+    different: set[int] = field(default_factory=set)
+
+    def add(self, root: Node) -> None:
+        texts, name = _blocks([root], frozenset()), signature(root)
+        new = from_page(root)
+        self.wrappers[name] = merge(self.wrappers[name], new) if name in self.wrappers else new
+        self._see(set(texts), {zlib.crc32("\n".join(texts).encode())})
+
+    def join(self, other: Host) -> None:
+        for name, new in other.wrappers.items():
+            self.wrappers[name] = merge(self.wrappers[name], new) if name in self.wrappers else new
+        self._see(other.common or set(), other.different)
+
+    def _see(self, texts: set[str], different: set[int]) -> None:
+        self.common = texts if self.common is None else self.common & texts
+        self.different = set(sorted(self.different | different)[:3])
+
+    def templates(self) -> dict[str, dict]:
+        """The region of each template; what it drops stands on every page of the host."""
+        found = {name: main_region(w, len(self.different)) for name, w in self.wrappers.items()}
+        return {name: {"path": r["path"], "drop": [t for t in r["drop"] if t in (self.common or ())]} for name, r in sorted(found.items())}
 
-    The sample is one page for each residue of a hash of the page, so a host of any number
-    of pages is reduced before the shuffle.
+
+def infer_wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(_host, region JSON by template, wrappers) of every host, from all its pages.
+
+    Every partition merges its pages of a host first, so few rows are left of a host of any
+    number of pages.
     """
-    mark = F.xxhash64(url, html)
-    each = pages.filter(F.col(html).isNotNull()).select(_host(F.col(url)).alias("_host"), mark.alias("_mark"), F.col(html).alias("_html"))
-    least = each.groupBy("_host", F.pmod("_mark", F.lit(sample)).alias("_slot")).agg(F.min(F.struct("_mark", "_html")).alias("_one"))
-    lists = least.groupBy("_host").agg(F.array_sort(F.collect_list("_one")).alias("_sample"))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Host] = {}
+
+        def passed() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_pydict({"_host": pa.array(list(held), pa.string()), "_part": pa.array([pickle.dumps(h) for h in held.values()], pa.binary())})
+            held.clear()
+            return rows
+
+        for batch in batches:
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(host, Host()).add(parse(page))
+                if sum(len(h.wrappers) for h in (held.values() if len(held) % 100 == 0 else ())) > HELD_WRAPPERS:
+                    yield passed()
+        if held:
+            yield passed()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, shown = [], []
             for rows in batch.column(1).to_pylist():
-                wrapper = infer([r["_html"] for r in rows])
-                out.append(json.dumps(main_region(wrapper, len(rows))))
-                shown.append(expression(wrapper))
+                host = Host()
+                for row in rows:
+                    host.join(pickle.loads(row))
+                out.append(json.dumps(host.templates()))
+                shown.append("\n".join(expression(w) for _, w in sorted(host.wrappers.items())))
             yield pa.RecordBatch.from_pydict({"_host": batch.column(0), "_region": pa.array(out, pa.string()), "_wrapper": pa.array(shown, pa.string())})
 
+    each = pages.filter(F.col(html).isNotNull()).select(_host(F.col(url)).alias("_host"), F.col(html).alias("_html"))
+    parts = each.mapInArrow(partial, "_host string, _part binary")
+    lists = parts.groupBy("_host").agg(F.array_sort(F.collect_list("_part")).alias("_parts"))
     return lists.mapInArrow(run, "_host string, _region string, _wrapper string")
 
 

@@ -368,6 +368,22 @@ def test_main_region_without_an_article():
     assert "Home" not in wrappers.extract(pages[0], region)
 
 
+def test_wrappers_see_all_pages_of_a_host(spark):
+    rng = np.random.default_rng(41)
+    body = "<div class=wrap><div class=body><p>{}</p><h2>{}</h2><p>{}</p></div></div>".format
+    copy = body(prose(30, rng), "said once", prose(20, rng))
+    texts = [prose(30, rng) for _ in range(40)]
+    rows = [(i, "http://h.example/c", copy) for i in range(60)] + [(100 + i, "http://h.example/p", body(t, "boilerplate", t[::-1])) for i, t in enumerate(texts)]
+    rows += [(200 + i, "http://k.example/", body(t, "boilerplate", "and " + t)) for i, t in enumerate(texts)]
+    other = "<div class=wrap><div class=body><div class=inner><p>short</p></div></div><section><p>{}</p><h2>{}</h2></section></div>"
+    rows += [(300 + i, "http://k.example/o", other.format(t, "boilerplate")) for i, t in enumerate(texts[:2])]
+    out = {r.page_id: r.main_text for r in wrappers.extract_main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)).collect()}
+    assert all("said once" in out[i] for i in range(60))
+    assert all(out[100 + i].split("\n") == [t, "boilerplate", t[::-1]] for i, t in enumerate(texts))  # not on all pages
+    assert all(out[200 + i].split("\n") == [t, "and " + t] for i, t in enumerate(texts))
+    assert all(texts[i] in out[300 + i] for i in range(2))
+
+
 def test_pipeline_end_to_end(spark, tmp_path):
     import corpus_pipeline
 
