@@ -186,9 +186,9 @@ def merge(a: Part, b: Part) -> Part:
 def align(a: list[Part], b: list[Part]) -> list[Part]:
     """Longest common subsequence; what only one side has becomes optional."""
     n, m = len(a), len(b)
-    if n * m > 250_000:  # too long to align: the heads decide
-        n, m = min(n, 500), min(m, 500)
     keys_a, keys_b = [x.key() for x in a], [x.key() for x in b]
+    if n * m > 250_000:
+        return _align_long(a, b, keys_a, keys_b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -209,6 +209,37 @@ def align(a: list[Part], b: list[Part]) -> list[Part]:
     return out
 
 
+def _align_long(a: list[Part], b: list[Part], keys_a: list[tuple], keys_b: list[tuple]) -> list[Part]:
+    """align in linear space (Hirschberg, 1975): equal ends first, then the longer list in halves."""
+    n, m = len(a), len(b)
+    head = next((k for k, (x, y) in enumerate(zip(keys_a, keys_b)) if x != y), min(n, m))
+    tail = next((k for k, (x, y) in enumerate(zip(keys_a[:head - 1 if head else None:-1], keys_b[:head - 1 if head else None:-1])) if x != y), min(n, m) - head)
+    if head or tail:
+        ends = [merge(x, y) for x, y in zip(a[:head], b[:head])], [merge(x, y) for x, y in zip(a[n - tail :], b[m - tail :])]
+        return ends[0] + align(a[head : n - tail], b[head : m - tail]) + ends[1]
+    if n < m:
+        half = m // 2
+        left, right = _lengths(keys_b[:half], keys_a), _lengths(keys_b[half:][::-1], keys_a[::-1])[::-1]
+        cut = max(range(n + 1), key=lambda i: left[i] + right[i])
+        return align(a[:cut], b[:half]) + align(a[cut:], b[half:])
+    half = n // 2
+    left, right = _lengths(keys_a[:half], keys_b), _lengths(keys_a[half:][::-1], keys_b[::-1])[::-1]
+    cut = max(range(m + 1), key=lambda j: left[j] + right[j])
+    return align(a[:half], b[:cut]) + align(a[half:], b[cut:])
+
+
+def _lengths(a: list[tuple], b: list[tuple]) -> list[int]:
+    """Length of the longest common subsequence of a and each beginning of b."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            here = row[j + 1]
+            row[j + 1] = before + 1 if x == y else max(here, row[j])
+            before = here
+    return row
+
+
 def infer(pages: list[str]) -> Part:
     wrapper = from_page(parse(pages[0]))
     for page in pages[1:]:

@@ -361,6 +361,22 @@ def test_wrapper_of_two_pages():
     assert wrappers.expression(w) == '<html> <div> <h1> #text </> ( <table> <tr> <td> "t" </> </> </> )? <ul> ( <li> #text </> )+ </> <p> "same" </> </> </>'
 
 
+def test_long_lists_are_aligned_whole():
+    rng = np.random.default_rng(51)
+    name = lambda k: wrappers.Part(f"div.c{k}", weight=1)
+    a, b = rng.integers(0, 40, 620).tolist(), rng.integers(0, 40, 560).tolist()
+    best = [0] * (len(b) + 1)
+    for x in a:
+        now = [0]
+        for j, y in enumerate(b):
+            now.append(best[j] + 1 if x == y else max(best[j + 1], now[j]))
+        best = now
+    out = wrappers.align([name(k) for k in a], [name(k) for k in b])
+    assert sum(p.weight == 2 for p in out) == best[-1] and sum(p.weight for p in out) == len(a) + len(b)
+    page = lambda n: "".join(f"<div class=x{n * k}><i>{k}</i></div>" for k in range(600)) + f"<article><p>main {n}</p></article>"
+    assert any(p.label == "article" for p in wrappers.infer([page(1), page(-1)]).children)
+
+
 def test_main_region_without_an_article():
     pages = [f"<div class=wrap><div class=menu><p>Home</p></div><div class=body><p>{prose(30)}</p><p>Read more</p><p>{prose(20)}</p><p>{prose(9)}</p></div></div>" for _ in range(5)]
     region = wrappers.main_region(wrappers.infer(pages), 5)
