@@ -68,13 +68,32 @@ class Index:
     blocks: int
 
 
-def build_index(ids: list, texts: list[str]) -> Index:
-    """Weights are shares of each item's own score. Items without words are never retrieved."""
+@dataclass
+class Statistics:
+    """What BM25 knows of a whole benchmark: items that hold each term, items, words."""
+
+    df: Counter
+    items: int = 0
+    words: int = 0
+
+    def add(self, texts: list[str]) -> Statistics:
+        for ws in map(tokens, texts):
+            self.df.update(set(ws))
+            self.items += 1
+            self.words += len(ws)
+        return self
+
+
+def build_index(ids: list, texts: list[str], whole: Statistics | None = None) -> Index:
+    """Weights are shares of each item's own score. Items without words are never retrieved.
+
+    whole: of the benchmark that the items are a part of, by default of the items.
+    """
     words = [tokens(t) for t in texts]
     vocabulary = {t: i for i, t in enumerate(sorted({w for ws in words for w in ws}))}
-    df = Counter(t for ws in words for t in set(ws))
-    n, mean = len(words), max(1.0, sum(map(len, words)) / max(1, len(words)))
-    blocks = -(-n // BLOCK_ITEMS)
+    whole = whole or Statistics(Counter()).add(texts)
+    df, n, mean = whole.df, whole.items, max(1.0, whole.words / max(1, whole.items))
+    blocks = -(-len(words) // BLOCK_ITEMS)
     term, item, weight = [], [], []
     for i, ws in enumerate(words):
         tf = Counter(ws)
@@ -171,9 +190,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
     out = docs
+
+    def part(k: int) -> list:
+        return items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
+
+    whole = Statistics(Counter())
+    for k in range(n if n > 1 else 0):
+        whole.add([r.t for r in part(k)])
     for k in range(n):  # an index at a time, each of a bounded number of items
-        rows = sorted(items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect(), key=lambda r: (r.i is None, r.i, r.t))
-        index = build_index([r.i for r in rows], [r.t for r in rows])
+        rows = sorted(part(k), key=lambda r: (r.i is None, r.i, r.t))
+        index = build_index([r.i for r in rows], [r.t for r in rows], whole if n > 1 else None)
 
         @tidy
         def run(batches: Iterator[pa.RecordBatch], index: Index = index, more: bool = k > 0) -> Iterator[pa.RecordBatch]:

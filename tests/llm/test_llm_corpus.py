@@ -180,6 +180,18 @@ def test_leaks(spark, monkeypatch):
     assert all(not r.leaks for r in decontam.find_leaks(frame(spark, texts), benchmark.limit(0)).collect())
 
 
+def test_scores_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
+    rng = np.random.default_rng(61)
+    items = [prose(int(rng.integers(8, 40)), rng) + ". " + prose(6, rng) + "." for _ in range(30)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = [None] + [prose(50, rng) + " " + " ".join(x.split()[: len(x.split()) - k % 4]) + " " + prose(9, rng) for k, x in enumerate(items)]
+    found = []
+    for per_index in (20_000, 4):
+        monkeypatch.setattr(decontam, "ITEMS_PER_INDEX", per_index)
+        found.append({(r.doc_id, x.item_id, x.score) for r in decontam.find_leaks(frame(spark, texts), benchmark).collect() for x in r.leaks})
+    assert found[0] and found[0] == found[1]
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(6)
     vectors = [rng.normal(0, 0.3, 16).round(2).tolist() for _ in range(300)] + [[0.5] * 16] * 80
