@@ -143,12 +143,18 @@ def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, n_passages: in
 
 def search_batch(index: Index, texts: pa.Array, threshold: float, question: float, answer: float) -> list[list[dict]]:
     """Verified items of each text, the best passage of each."""
-    words, first = split_words(texts)
+    words, first = split_words(texts, pc.utf8_split_whitespace)
     out: list[list[dict]] = [[] for _ in range(len(texts))]
     if not len(words) or not len(index.terms):
         return out
     number, found = distinct(words)
     plain = pc.utf8_trim(pc.utf8_lower(found), characters=_PUNCTUATION)
+    # as in tokens, words of punctuation alone count for nothing; place: a word's number with them
+    solid = (pc.binary_length(plain).to_numpy(zero_copy_only=False) > 0)[number]
+    place = (np.arange(len(number)) - np.repeat(first[:-1], np.diff(first)))[solid]
+    number, first = number[solid], np.concatenate(([0], np.cumsum(solid)))[first]
+    if not len(number):
+        return out
     term = pc.fill_null(pc.index_in(plain, index.terms), -1).to_numpy(zero_copy_only=False)[number]
     known = np.flatnonzero(term >= 0)
     text = np.searchsorted(first, known, side="right") - 1
@@ -165,10 +171,9 @@ def search_batch(index: Index, texts: pa.Array, threshold: float, question: floa
         t = int(np.searchsorted(base, passage, side="right")) - 1
         a = int(first[t]) + (passage - int(base[t])) * STRIDE
         span = plain.take(pa.array(number[a : min(int(first[t + 1]), a + STRIDE * (reach + 1))])).to_pylist()
-        span = [w for w in span if w]
         q, r = (overlap(x, span) for x in index.items[item])
         if q >= question and r >= answer and score > best.get((t, item), {"score": -1})["score"]:
-            best[t, item] = {"item_id": index.ids[item], "score": round(min(score, 1.0), 6), "question_overlap": q, "answer_overlap": r, "first_word": a - int(first[t])}
+            best[t, item] = {"item_id": index.ids[item], "score": round(min(score, 1.0), 6), "question_overlap": q, "answer_overlap": r, "first_word": int(place[a])}
     for (t, _), hit in sorted(best.items()):
         out[t].append(hit)
     return out

@@ -31,9 +31,9 @@ def slices(texts: pa.Array, most_bytes: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words between ASCII white space, and each text's first word (n + 1 offsets)."""
-    lists = pc.ascii_split_whitespace(texts)
+def split_words(texts: pa.Array, split: Callable[[pa.Array], pa.Array] = pc.ascii_split_whitespace) -> tuple[pa.Array, np.ndarray]:
+    """All words between ASCII (or, by `split`, other) white space, and each text's first word (n + 1 offsets)."""
+    lists = split(texts)
     flat = lists.flatten()
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     some = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0

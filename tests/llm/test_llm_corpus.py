@@ -192,6 +192,16 @@ def test_scores_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
     assert found[0] and found[0] == found[1]
 
 
+def test_leaks_among_free_standing_punctuation(spark):
+    rng = np.random.default_rng(71)
+    item = prose(190, rng) + ". " + prose(12, rng).capitalize() + "."
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    texts = [None, "! ? " + prose(100, rng) + " " + item.replace(" ", " - \u2013 ** ") + " " + prose(40, rng), item.replace(" ", "\u2003"), "- - -"]
+    out = {r.doc_id: r.leaks for r in decontam.find_leaks(frame(spark, texts), benchmark).collect()}
+    assert {d: [x.item_id for x in found] for d, found in out.items()} == {None: [], 1: [1], 2: [1], 3: []}
+    assert out[1][0].answer_overlap == 1 and out[1][0].first_word == 2
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(6)
     vectors = [rng.normal(0, 0.3, 16).round(2).tolist() for _ in range(300)] + [[0.5] * 16] * 80
