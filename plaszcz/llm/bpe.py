@@ -1,11 +1,13 @@
 """Byte-level BPE, encoded through a pair occurrence index.
 
-Texts are cut into words by array operations over code points, each distinct word of a
-batch is encoded once, and all of them together: the index maps the rank of every
-mergeable pair to the positions where it occurs in any word. Active ranks are applied in
-ascending order, each to all its positions at once, and only the lists of the neighbouring
-pairs are updated. Since a rank's merges are applied in every word before a higher rank is
-looked at, every word ends as if it had been merged on its own, lowest rank first.
+Texts are cut into words by array operations over code points. A partition is read in
+slices; the distinct words of a slice that the partition has not shown yet are encoded
+together: the index maps the rank of every mergeable pair to the positions where it occurs
+in any of them. Active ranks are applied in ascending order, each to all its positions at
+once, and only the lists of the neighbouring pairs are updated. Since a rank's merges are
+applied in every word before a higher rank is looked at, every word ends as if it had been
+merged on its own, lowest rank first. The ids of short words are kept, up to a bound, for
+the partition's later slices; a slice is done and passed on before the next one is read.
 """
 
 from __future__ import annotations
@@ -22,13 +24,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import table
+from .store import bound_batches, table
 from .words import slices, texts_of, tidy
 
 _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 0
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _NONE = np.int32(2**31 - 1)
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 4_000_000
+#: Words of up to KEPT_BYTES whose ids a task keeps from slice to slice; beyond KEPT_WORDS it starts anew.
+KEPT_WORDS, KEPT_BYTES = 131_072, 48
+#: Ids that are decoded at a time.
+_DECODED_IDS = 1 << 17
 
 
 def default_tokenizer() -> str:
@@ -112,16 +118,17 @@ class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec, path)
         symbol = _byte_symbols()
         back = {c: b for b, c in symbol.items()}
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         size = max([*vocab.values(), *self.special.values()]) + 1
-        self.bytes_of: list[bytes] = [b""] * size
+        bytes_of = [b""] * size
         for token, i in vocab.items():
-            self.bytes_of[i] = bytes(back[c] for c in token)
+            bytes_of[i] = bytes(back[c] for c in token)
         for token, i in self.special.items():
-            self.bytes_of[i] = token.encode()
+            bytes_of[i] = token.encode()
         self.byte_id = np.array([vocab[symbol[b]] for b in range(256)], np.int32)
         pairs = [(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] * size + vocab[b] for a, b in pairs], np.int64)
@@ -129,9 +136,9 @@ class Bpe:
         self.size, self._keys, self._ranks = size, keys[order], order.astype(np.int32)
         self._merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
         self._same = np.array([a == b for a, b in pairs])
-        lengths = np.array([len(b) for b in self.bytes_of], np.int64)
+        lengths = np.array([len(b) for b in bytes_of], np.int64)
         self._token_at, self._token_size = np.cumsum(lengths) - lengths, lengths
-        self._token_data = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self._token_data = np.frombuffer(b"".join(bytes_of), np.uint8)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) * self.size + b
@@ -209,11 +216,40 @@ class Bpe:
                 index[r] = [part]
                 heapq.heappush(active, r)
 
+    def encode_distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words (binary), one after another, and the number of each word's."""
+        sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        return self.encode_words(np.frombuffer(b"".join(words.to_pylist()), np.uint8), sizes)
+
     def decode_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids, and where each id's bytes begin (n + 1 offsets)."""
-        size = self._token_size[ids]
-        at = np.concatenate(([0], np.cumsum(size)))
-        return self._token_data[np.repeat(self._token_at[ids] - at[:-1], size) + np.arange(at[-1])], at
+        at = np.concatenate(([0], np.cumsum(self._token_size[ids])))
+        out = np.empty(at[-1], np.uint8)
+        for a in range(0, len(ids), _DECODED_IDS):
+            part = ids[a : a + _DECODED_IDS]
+            size = self._token_size[part]
+            begin = np.cumsum(size) - size
+            out[at[a] : at[a + len(part)]] = self._token_data[np.repeat(self._token_at[part] - begin, size) + np.arange(size.sum())]
+        return out, at
+
+
+def _check(spec: dict, path: str) -> None:
+    """Raise unless the file asks for nothing but byte-level BPE as it is done here."""
+    model, cut = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    wrong = [
+        what
+        for what, bad in (
+            ("model", model.get("type") != "BPE"),
+            ("model options", any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))),
+            ("pre_tokenizer", cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or cut.get("use_regex") is False),
+            ("normalizer", spec.get("normalizer")),
+            ("decoder", (spec.get("decoder") or {}).get("type") != "ByteLevel"),
+            ("added_tokens", any(t.get(k) for t in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized"))),
+        )
+        if bad
+    ]
+    if wrong:
+        raise ValueError(f"{path} is not plain byte-level BPE: {', '.join(wrong)}")
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -234,39 +270,43 @@ def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np
     return values[np.repeat(start - at[:-1], size) + np.arange(at[-1])], at
 
 
-def encode_batch(texts: pa.Array, bpe: Bpe, words_to_ids=None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encode_batch(texts: pa.Array, bpe: Bpe, kept: dict[bytes, bytes] | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, end, ids of these texts, where each text's ids begin) for slices of the batch.
 
-    words_to_ids(distinct words) -> (ids, number of ids of each) replaces the pair index.
+    kept: ids of words that earlier slices have shown, for later ones.
     """
-    parts = []
+    kept = {} if kept is None else kept
     for a, b in slices(texts, SLICE_BYTES):
         segments, owner = _segments(texts[a:b], bpe)
         words, first = cut_words(segments)
         coded = words.dictionary_encode()
-        parts.append((a, b, owner, first, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary))
-    if not parts:
-        return
-    every = pa.chunked_array([p[5] for p in parts], pa.binary()).combine_chunks().dictionary_encode()
-    every = every.combine_chunks() if isinstance(every, pa.ChunkedArray) else every
-    number, found = every.indices.to_numpy(zero_copy_only=False), every.dictionary
-    sizes = pc.binary_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
-    if words_to_ids:
-        ids, counts = words_to_ids(found)
-    else:
-        ids, counts = bpe.encode_words(np.frombuffer(found.buffers()[2] or b"", np.uint8)[: sizes.sum()], sizes)
-    start = np.cumsum(counts) - counts
-    seen = 0
-    for a, b, owner, first, index, own in parts:
-        word = number[seen : seen + len(own)][index]
-        seen += len(own)
-        flat, word_at = _gather(ids, start[word], counts[word])
+        ids, counts = _ids_of(coded.dictionary, bpe, kept)
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        flat, word_at = _gather(ids, (np.cumsum(counts) - counts)[word], counts[word])
         at = word_at[first]
         if owner is not None:
             flat, at = _with_special(flat, at, owner, b - a)
         yield a, b, flat, at
 
 
+def _ids_of(words: pa.Array, bpe: Bpe, kept: dict[bytes, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct words, one after another, and the number of each word's."""
+    names = words.to_pylist()
+    held = [kept.get(w) for w in names]
+    new = [i for i, h in enumerate(held) if h is None]
+    if new:
+        ids, counts = bpe.encode_distinct(words.take(pa.array(new)))
+        raw, ends = ids.astype(np.int32).tobytes(), np.cumsum(counts) * 4
+        if len(kept) + len(new) > KEPT_WORDS:
+            kept.clear()
+        for i, size, end in zip(new, (counts * 4).tolist(), ends.tolist(), strict=True):
+            held[i] = raw[end - size : end]
+            if len(names[i]) <= KEPT_BYTES and len(kept) < KEPT_WORDS:
+                kept[names[i]] = held[i]
+    counts = np.fromiter(map(len, held), np.int64, len(held)) // 4
+    return np.frombuffer(b"".join(held), np.int32), counts
+
+
 def _segments(texts: pa.Array, bpe: Bpe) -> tuple[pa.Array, np.ndarray | None]:
     """Texts cut at special tokens; owner: (text, special id after the segment or -1), None if nothing is cut."""
     has = [s for s in bpe.special if pc.any(pc.match_substring(texts, s)).as_py()]
@@ -307,6 +347,7 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, de
     replaced; other columns, repeated rows and empty tables stay as they are.
     """
     path = tokenizer or default_tokenizer()
+    bound_batches(docs.sparkSession)
     docs = docs.drop("token_ids", "n_tokens", "decoded_text")
     kept = [f for f in docs.schema.fields if f.name != text]
     names = [f.name for f in kept]
@@ -315,9 +356,9 @@ def encode(docs: DataFrame, text: str = "text", tokenizer: str | None = None, de
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe, kept = load(path), {}
         for batch in batches:
-            for a, b, ids, at in encode_batch(texts_of(batch.column(len(names))), bpe):
+            for a, b, ids, at in encode_batch(texts_of(batch.column(len(names))), bpe, kept):
                 made = [_binary(ids.astype("<u4").view(np.uint8), at * 4), pa.array(np.diff(at))]
                 if decoded:
                     made.append(_decoded(bpe, ids, at))
@@ -338,6 +379,7 @@ def _decoded(bpe: Bpe, ids: np.ndarray, at: np.ndarray) -> pa.Array:
 def decode(tokens: DataFrame, ids: str = "token_ids", tokenizer: str | None = None) -> DataFrame:
     """tokens with decoded_text; bytes that are no UTF-8 become U+FFFD, null ids an empty text."""
     path = tokenizer or default_tokenizer()
+    bound_batches(tokens.sparkSession)
     tokens = tokens.drop("decoded_text")
     names = tokens.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields] + ["decoded_text string"])

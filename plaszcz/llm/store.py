@@ -6,15 +6,30 @@ takes the only copy of a result with it.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of one Arrow batch, unless the session asks for fewer: batches of long texts have few rows.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches in bytes, so that what Python and the JVM hold at once does not follow from the rows' length."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", spark.conf.get(setting).strip().lower()).groups()
+    if not 0 < int(number) << 10 * " kmgt".index(unit or " ") <= BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a session without one (tests) gets its own."""
+    """The folder named by spark.checkpoint.dir. A local session without one (tests) gets its own, a cluster must name it."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -42,4 +57,5 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

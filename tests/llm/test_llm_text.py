@@ -151,16 +151,21 @@ def test_decode_round_trip_and_broken_ids(spark):
     assert "�" in out[1] and out[2] == "" and out[3] == ""
 
 
-def test_random_text_against_the_library(library):
+@pytest.mark.parametrize("kept_words", [bpe.KEPT_WORDS, 20])
+def test_random_text_against_the_library(library, monkeypatch, kept_words):
+    monkeypatch.setattr(bpe, "KEPT_WORDS", kept_words)
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 500)
     rng = np.random.default_rng(1)
     alphabet = list("abcdefgh  \n\t'’ABC012.,!-éß中😀  ") + ["'s", "'re", " the", "ing", "\r\n", "<|endoftext|>"]
     texts = ["".join(rng.choice(alphabet, int(rng.integers(0, 60)))) for _ in range(400)]
     model = bpe.load(bpe.default_tokenizer())
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    got = []
-    for _, _, ids, at in bpe.encode_batch(pa.array(texts), model):
-        got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
-    assert got == want
+    for one in (model, tokenfile.Library(bpe.default_tokenizer())):
+        got, kept = [], {}
+        for k in range(0, 400, 40):
+            for _, _, ids, at in bpe.encode_batch(pa.array(texts[k : k + 40]), one, kept):
+                got += [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])]
+        assert got == want
 
 
 @pytest.mark.parametrize("bits", [1, 3, 8, 15, 16, 17, 31])
@@ -171,7 +176,20 @@ def test_packing_round_trip(bits):
     assert (tokenfile.unpack(data, 1003, bits) == ids).all()
 
 
-def test_random_access_in_a_token_file(tmp_path):
+def test_files_follow_the_bytes():
+    assert [tokenfile.files_for(n, 8) for n in (0, 10, 3 << 20, 1 << 30, 100 << 40)] == [1, 1, 3, 16, 100 << 12]
+
+
+def test_unsupported_tokenizers_are_refused(tmp_path):
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="pre_tokenizer"):
+        bpe.Bpe(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@pytest.mark.parametrize("block_docs", [1 << 16, 2])
+def test_random_access_in_a_token_file(tmp_path, monkeypatch, block_docs):
+    monkeypatch.setattr(tokenfile, "BLOCK_DOCS", block_docs)
     rng = np.random.default_rng(3)
     lengths = [0, 1, 70_000, 5, 200_000, 0]
     ids = rng.integers(0, 50_257, sum(lengths)).astype(np.int32)
@@ -182,7 +200,7 @@ def test_random_access_in_a_token_file(tmp_path):
     assert not (tmp_path / "t.bin").exists()
     w.close()
     r = tokenfile.Reader(str(tmp_path / "t.bin"))
-    assert r.doc_ids == [10, None, 12, 13, 14, 15] and r.bits == 16
+    assert [d for k in range(len(r.doc_blocks)) for d in r.documents(k)[0]] == [10, None, 12, 13, 14, 15] and r.bits == 16 and r.n_docs == 6
     for i in range(6):
         assert (r.document(i) == ids[at[i] : at[i + 1]]).all()
     assert (r.tokens(65_530, 131_080) == ids[65_530:131_080]).all()
