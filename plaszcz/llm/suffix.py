@@ -18,8 +18,9 @@ anchor is not repeated. Anchors are about 2 in threshold - L + 2 positions.
 
 Ranks are hashes, named alike in every task, so no round renumbers them: two of 64 bits
 decide each equality. Counts are aggregated before any shuffle, joins can be split by
-adaptive execution, and a rank with more surroundings than one task takes goes through
-an aggregation over the pairs themselves.
+adaptive execution. A rank with more surroundings than GROUP_ROWS is not brought together:
+its strings are dealt out one by one, by rank, distance and pair, so that a task takes a share
+of the rank's strings and reads equal ones as they stream by, however many there are.
 """
 
 from __future__ import annotations
@@ -32,14 +33,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import discard, stage, table
+from .store import discard, keeps_names, stage, table
 from .words import slices, tidy
 from .xxh import xxh64_ranges
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _VALUES = np.random.default_rng(64_200).integers(0, 2**64, 256, dtype=np.uint64)
-#: Surroundings of one rank that one task compares.
+#: Surroundings of one rank that one task compares; the strings of larger ranks are dealt out.
 GROUP_ROWS = 20_000
+#: Surroundings that one row of the table of texts carries.
+_ROW_ASKS = 4_096
 _PIECE = 1 << 20
 #: Strings compared at once within the groups that a task holds.
 _WINDOWS = 250_000
@@ -216,6 +219,7 @@ def _span_array(spans: list[list[tuple[int, int]]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), both)
 
 
+@keeps_names
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 200, group_rows: int = GROUP_ROWS, readable: bool = False) -> DataFrame:
     """docs with kept (binary: the text's bytes without repeated ones) and removed (spans of bytes, by start).
 
@@ -266,25 +270,32 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             texts = _bytes_column(batch.column(names.index(text)))
             for a, b in slices(texts, _PIECE):
-                spans, asks = [], []
+                spans, asks, owner = [], [], []
                 for i, marks_of in enumerate(batch.column(len(names))[a:b].to_pylist(), a):
                     raw = texts[i].as_buffer()
                     at = np.array([m["_at"] for m in marks_of or ()], np.int64)
                     lo, hi = _surroundings(np.array([0, len(raw)]), at, threshold, length)
                     sure = np.array([m["_h"] is None for m in marks_of or ()], bool)
                     spans.append(merge_spans(lo[sure], hi[sure]))
-                    asks.append([
+                    own = [
                         {"h": m["_h"], "base": int(lo[k]), "left": int(at[k] - lo[k]), "lone": m["_n"] == 1, "hot": m["_hot"], "around": bytes(raw[int(lo[k]) : int(hi[k])])}
                         for k, m in enumerate(marks_of or ()) if m["_h"] is not None
-                    ])
-                yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[: len(names)]), _span_array(spans), pa.array(asks, ask_type)], [*names, "_sure", "_asks"])
-
-    laid, _ = stage(docs.join(marks, ["_d", "_r"], "left").select(*names, "_marks").mapInArrow(lay_out, f"{base_ddl}, _sure {_SPANS}, _asks {ask_ddl}"), "laid-out")
+                    ]
+                    for k in range(0, max(1, len(own)), _ROW_ASKS):  # a long text's surroundings go on in rows without the text
+                        asks.append(own[k : k + _ROW_ASKS])
+                        owner.append((i, k == 0))
+                pick = pa.array([i for i, _ in owner], pa.int64())
+                whole = pa.array([first for _, first in owner], pa.bool_())
+                columns = [c.take(pick) if n in ("_d", "_r") else c.take(pc.if_else(whole, pick, None)) for n, c in zip(names, batch.columns)]
+                sure_of = _span_array(spans).take(pc.subtract(pick, a))
+                yield pa.RecordBatch.from_arrays([*columns, sure_of, pa.array(asks, ask_type), whole], [*names, "_sure", "_asks", "_whole"])
+
+    laid, _ = stage(docs.join(marks, ["_d", "_r"], "left").select(*names, "_marks").mapInArrow(lay_out, f"{base_ddl}, _sure {_SPANS}, _asks {ask_ddl}, _whole boolean"), "laid-out")
     discard(spark, live_path, kinds_path, mixed_path)
 
     asks = laid.filter(F.size("_asks") > 0).select("_d", "_r", F.explode("_asks").alias("_a")).select("_d", "_r", "_a.*")
     spans, _ = stage(_resolve(asks, threshold, length).groupBy("_d", "_r").agg(F.flatten(F.collect_list("_spans")).alias("_more")), "spans")
-    open_ = laid.filter(F.size("_asks") > 0).drop("_asks").join(spans, ["_d", "_r"], "left").select(*names, "_sure", "_more")
+    open_ = laid.filter((F.size("_asks") > 0) & F.col("_whole")).drop("_asks").join(spans, ["_d", "_r"], "left").select(*names, "_sure", "_more")
     done = laid.filter(F.size("_asks") == 0).select(*names, "_sure", F.lit(None).cast(_SPANS).alias("_more"))
     out_names = [n for n in names if n not in ("_d", "_r")]
     out_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest if f.name in out_names)
@@ -331,28 +342,58 @@ def _resolve(asks: DataFrame, threshold: int, length: int) -> DataFrame:
     plain = asks.filter("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h")
     small = plain.mapInArrow(compare, f"_d bigint, _r bigint, _spans {_SPANS}")
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @tidy
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1_000):
+                rows = batch.slice(a, 1_000)
+                h, left, base = (rows.column(n).to_numpy().astype(np.int64) for n in ("h", "left", "base"))
+                row, offset, first, second = string_ranks(rows.column("around"), threshold, length)
+                near = _mix(_mix(h[row].view(np.uint64)) ^ (left[row] - offset).astype(np.uint64))
+                pick = pa.array(row)
+                made = [pa.array(base[row] + offset), rows.column("lone").take(pick), pa.array(_mix(near ^ first).view(np.int64)), pa.array(second.view(np.int64))]
+                yield pa.RecordBatch.from_arrays([rows.column("_d").take(pick), rows.column("_r").take(pick), *made], ["_d", "_r", "at", "lone", "first", "second"])
+
+    @tidy
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, again = None, False  # the row that waits for the next one, and whether it equals the one before it
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                rank = ranks(np.frombuffer(row["around"], np.uint8), length)
-                n = max(0, len(row["around"]) - threshold + 1)
-                offset = np.arange(n)
-                yield pa.RecordBatch.from_pydict({
-                    "_d": np.full(n, row["_d"], np.int64), "_r": np.full(n, row["_r"], np.int64), "h": np.full(n, row["h"], np.int64),
-                    "distance": row["left"] - offset, "first": rank[:n].view(np.int64), "second": rank[threshold - length :][:n].view(np.int64),
-                    "at": row["base"] + offset, "lone": np.full(n, row["lone"]),
-                })
+            if last is not None:
+                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            first, second = (batch.column(n).to_numpy() for n in ("first", "second"))
+            same = np.zeros(batch.num_rows + 1, bool)
+            same[0] = again
+            same[1:-1] = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
+            keep = (same[1:] | same[:-1])[:-1] & batch.column("lone").to_numpy(zero_copy_only=False)[:-1]
+            yield spans_of(batch.slice(0, batch.num_rows - 1).filter(pa.array(keep)))
+            last, again = pa.RecordBatch.from_arrays([c.take(pa.array([batch.num_rows - 1])) for c in batch.columns], batch.schema.names), bool(same[-2])
+        if again and last is not None and last.column("lone")[0].as_py():
+            yield spans_of(last)
+
+    def spans_of(rows: pa.RecordBatch) -> pa.RecordBatch:
+        at = rows.column("at").to_numpy()
+        spans = pa.StructArray.from_arrays([pa.array(at), pa.array(at + threshold)], ["start", "end"])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1), pa.int32()), spans)
+        return pa.RecordBatch.from_arrays([rows.column("_d"), rows.column("_r"), lists], ["_d", "_r", "_spans"])
 
     hot = asks.filter("hot")
     if not hot.limit(1).count():
         return small
-    each = hot.mapInArrow(pairs, "_d bigint, _r bigint, h bigint, distance bigint, first bigint, second bigint, at bigint, lone boolean")
-    key = ["h", "distance", "first", "second"]
-    often = each.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    span = F.struct(F.col("at").alias("start"), (F.col("at") + threshold).alias("end"))
-    large = each.filter("lone").join(often, key, "left_semi").groupBy("_d", "_r").agg(F.collect_list(span).alias("_spans"))
-    return small.unionByName(large)
+    each = hot.mapInArrow(strings, "_d bigint, _r bigint, at bigint, lone boolean, first bigint, second bigint")
+    dealt = each.repartition("first").sortWithinPartitions("first", "second")
+    return small.unionByName(dealt.mapInArrow(repeated, f"_d bigint, _r bigint, _spans {_SPANS}"))
+
+
+def string_ranks(around: pa.Array, threshold: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, ranks of both halves) of every string of `threshold` bytes in the surroundings."""
+    sizes = pc.binary_length(around).to_numpy(zero_copy_only=False).astype(np.int64)
+    begin = np.cumsum(sizes) - sizes
+    rank = ranks(np.frombuffer(b"".join(around.to_pylist()), np.uint8), length)
+    n = np.maximum(sizes - threshold + 1, 0)
+    row = np.repeat(np.arange(len(sizes)), n)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = begin[row] + offset
+    return row, offset, rank[at], rank[at + threshold - length]
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], rows: int = 5_000) -> Iterator[pa.Table]:
