@@ -6,8 +6,11 @@ takes the only copy of a result with it.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +59,45 @@ def discard(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def filesystem(path: str):
+    """(pyarrow file system, path in it) of a URI or a local path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
+
+
+def write_file(path: str, data: bytes) -> None:
+    store, at = filesystem(path)
+    store.create_dir(os.path.dirname(at), recursive=True)
+    with store.open_output_stream(at) as f:
+        f.write(data)
+
+
+def read_file(path: str) -> bytes:
+    store, at = filesystem(path)
+    with store.open_input_stream(at) as f:
+        return f.read()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def keeps_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on a table whose columns may have any names.
+
+    Names that begin with an underscore are the operators' own; a table's columns of such names
+    have others while the operator runs.
+    """
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **options) -> DataFrame:
+        own = {c: f"own{i}{c}" for i, c in enumerate(df.columns) if c.startswith("_")}
+        if not own:
+            return operator(df, *args, **options)
+        named = lambda x: own.get(x, x) if isinstance(x, str) else x
+        out = operator(df.withColumnsRenamed(own), *map(named, args), **{k: named(v) for k, v in options.items()})
+        return out.withColumnsRenamed({v: k for k, v in own.items()})
+
+    return run
