@@ -12,10 +12,12 @@ their answer's word n-grams that the passage holds.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import table
+from .store import bound_batches, keeps_names, new_path, read_file, table, write_file
 from .toxicity import _PUNCTUATION
 from .words import distinct, slices, split_words, texts_of, tidy
 
@@ -32,6 +34,8 @@ BLOCK_ITEMS = 16
 STRIDE = 128
 #: Items of one index, which every task holds; a larger benchmark is searched index by index.
 ITEMS_PER_INDEX = 20_000
+#: Pairs of a passage and a block whose bounds are held at once, and bytes of text that are searched index by index.
+CELLS, SEARCHED_BYTES = 4_000_000, 32 << 20
 
 
 def tokens(text: str) -> list[str]:
@@ -123,8 +127,19 @@ def _expand(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, n_passages: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage, item, score) of all pairs that reach the threshold.
 
-    passage, term: the distinct terms of each passage, sorted by passage.
+    passage, term: the distinct terms of each passage, sorted by passage. Bounds are held for
+    CELLS pairs of a passage and a block at a time.
     """
+    step = max(1, CELLS // max(1, index.blocks))
+    found = []
+    for a in range(0, max(1, n_passages), step):
+        lo, hi = np.searchsorted(passage, [a, a + step])
+        p, i, s = _retrieve(index, passage[lo:hi] - a, term[lo:hi], min(step, n_passages - a), threshold)
+        found.append((p + a, i, s))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _retrieve(index: Index, passage: np.ndarray, term: np.ndarray, n_passages: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, block, most = index.by_block
     owner, at = _expand(start[term], start[term + 1] - start[term])
     bound = np.bincount(passage[owner] * index.blocks + block[at], most[at], n_passages * index.blocks)
@@ -183,18 +198,20 @@ _HIT = "struct<item_id: bigint, score: double, question_overlap: double, answer_
 _HIT_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())]))
 
 
+@keeps_names
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = 0.5, question: float = 0.6, answer: float = 0.6) -> DataFrame:
     """docs with leaks: the items of the benchmark that a passage holds, in question and in answer.
 
     Null and empty texts hold nothing, null items and items without words are held by nothing;
     repeated items are found each. A column named leaks is replaced.
     """
+    spark = docs.sparkSession
+    bound_batches(spark)
     n = max(1, -(-benchmark.count() // ITEMS_PER_INDEX))
     docs = docs.drop("leaks")
     names = docs.columns
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
-    out = docs
 
     def part(k: int) -> list:
         return items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
@@ -202,22 +219,53 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     whole = Statistics(Counter())
     for k in range(n if n > 1 else 0):
         whole.add([r.t for r in part(k)])
-    for k in range(n):  # an index at a time, each of a bounded number of items
+
+    def build(k: int) -> Index:
         rows = sorted(part(k), key=lambda r: (r.i is None, r.i, r.t))
-        index = build_index([r.i for r in rows], [r.t for r in rows], whole if n > 1 else None)
-
-        @tidy
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index, more: bool = k > 0) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = texts_of(batch.column(names.index(text)))
-                for a, b in slices(texts, 1_000_000):
-                    hits = search_batch(index, texts[a:b], threshold, question, answer)
-                    if more:
-                        hits = [x + y for x, y in zip(batch.column(len(names))[a:b].to_pylist(), hits, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*(c[a:b] for c in batch.columns[: len(names)]), pa.array(hits, _HIT_TYPE)], [*names, "leaks"])
-
-        out = out.mapInArrow(run, f"{ddl}, leaks array<{_HIT}>")
-    return out
+        return build_index([r.i for r in rows], [r.t for r in rows], whole if n > 1 else None)
+
+    if n == 1:
+        (only,) = (build(0),)
+        get = lambda k: only
+    else:  # indexes in shared files, each of a bounded number of items; driver and tasks hold one at a time
+        folder = new_path(spark, "indexes")
+        for k in range(n):
+            write_file(f"{folder}/{k}", pickle.dumps(build(k)))
+        get = lambda k: _stored_index(f"{folder}/{k}")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _held(batches, names.index(text), 0 if n == 1 else SEARCHED_BYTES):
+            hits: list[list] = [[] for _ in held]
+            for k in range(n):
+                index = get(k)
+                for mine, batch in zip(hits, held, strict=True):
+                    texts, found = texts_of(batch.column(names.index(text))), []
+                    for a, b in slices(texts, 1_000_000):
+                        found += search_batch(index, texts[a:b], threshold, question, answer)
+                    mine[:] = [x + y for x, y in zip(mine, found, strict=True)] if k else found
+            for mine, batch in zip(hits, held, strict=True):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mine, _HIT_TYPE)], [*names, "leaks"])
+
+    return docs.mapInArrow(run, f"{ddl}, leaks array<{_HIT}>")
+
+
+def _held(batches: Iterator[pa.RecordBatch], text: int, least: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of at least so many bytes of text."""
+    out, size = [], 0
+    for batch in batches:
+        out.append(batch)
+        size += batch.column(text).nbytes
+        if size >= least:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
+@lru_cache(maxsize=1)
+def _stored_index(path: str) -> Index:
+    return pickle.loads(read_file(path))
 
 
 def op3_decontam(spark, sf_dir: str) -> DataFrame:
