@@ -3,8 +3,9 @@
 Token scores are log-odds of rates in toxic and other training documents, with an
 informative Dirichlet prior (Monroe, Colaresi and Quinn, 2008). Tokens are words and word
 beginnings; a word takes the score of its longest part with clear evidence, and words
-without any share the slightly negative log-odds of the remaining mass. All maximal scoring segments of a text come from one linear scan
-(Ruzzo and Tompa, 1999). A segment of score S in a text of n tokens has the expected count
+without any share the slightly negative log-odds of the remaining mass. Evidence is clear if
+chance would hardly bring it about in any of all words. All maximal scoring segments of a text
+come from one linear scan (Ruzzo and Tompa, 1999). A segment of score S in a text of n tokens has the expected count
 E = n exp(-lambda S) under the background (Karlin and Altschul, 1990); a document's score is
 a logistic function, fitted on training documents, of its best segment's -ln E.
 """
@@ -23,13 +24,13 @@ from pyspark.sql import functions as F
 
 from .nearcopies import _Sets, _whole_buckets, distinct_shingles
 from .simhash import shingle_hashes
-from .store import discard, stage, table
+from .store import bound_batches, discard, keeps_names, stage, table
 from .words import distinct, slices, split_words, texts_of, tidy
 
 #: Most labelled documents that the model is fitted on, taken in the order of a hash of doc_id.
 TRAIN_DOCS = 20_000
-#: Most tokens that the model holds, the clearest first.
-MODEL_TOKENS = 65_536
+#: Tokens that chance alone may bring into the model, in expectation: at most one, fewer with more toxic texts.
+FALSE_TOKENS = 10.0
 #: Lengths of the word beginnings that count as tokens, in characters.
 BEGINNINGS = (7, 6, 5, 4)
 #: Words of prior for all tokens together.
@@ -179,26 +180,30 @@ def _surprise(model: Model, score: float, n: int) -> float:
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", train_docs: int = TRAIN_DOCS) -> Model:
     """Learn from labelled documents whose fold is not 0; of near copies with one label, one counts.
 
-    Without toxic examples, or without others, no token is held and every score is 0.
+    Without toxic examples, or without others, no token is held and every score is 0. How much
+    evidence a token needs follows from the words and from the number of toxic texts.
     """
+    bound_batches(docs.sparkSession)
     known = labels.filter((fold(doc_id) != 0) & F.col(doc_id).isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(doc_id).agg(F.max(label).alias("_toxic")).orderBy(F.xxhash64(doc_id), doc_id).limit(train_docs)
     sample = docs.select(F.col(doc_id), F.col(text).alias("_text")).join(F.broadcast(known), doc_id)  # train_docs rows at most
     marked = sample.select("_text", F.col("_toxic").cast("int")).mapInArrow(tidy(_mark), "_text string, _cell int, _key bigint")
     dealt = marked.repartition("_key", "_cell").sortWithinPartitions("_key", "_cell", F.xxhash64("_text"), "_text")
-    sample, _ = stage(dealt.mapInArrow(tidy(_apart), "_text string, _toxic int"), "toxic-sample")
+    sample, sample_path = stage(dealt.mapInArrow(tidy(_apart), "_text string, _toxic int"), "toxic-sample")
     sizes = dict(sample.groupBy("_toxic").count().collect())
     n1, n0 = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not n1 or not n0:
+        discard(docs.sparkSession, sample_path)
         return Model((), (), -1.0, 1.0, 1.0, -50.0)
     counts = sample.select("_text", (F.col("_toxic") == 1).alias("_t")).mapInArrow(tidy(_count_tokens), "token string, y1 bigint, y bigint, d1 bigint, d bigint")
     counts, path = stage(counts.groupBy("token").agg(*(F.sum(c).alias(c) for c in ("y1", "y", "d1", "d"))).filter("token <> ''"), "toxic-counts")
     all1, every = counts.filter("NOT endswith(token, '*')").agg(F.sum("y1"), F.sum("y")).first()
     share = n1 / (n1 + n0)
-    # toxic texts among a token's texts beyond what chance gives, in standard deviations
-    excess = (F.col("d1") - F.col("d") * share) / F.sqrt(F.col("d") * share * (1 - share))
-    clear = counts.filter("d1 >= 5").withColumn("excess", excess).filter("excess > 6").orderBy(F.desc("excess"), "token").limit(MODEL_TOKENS)
-    rows = clear.collect()
+    x = F.col("d1") / F.col("d")  # evidence: -ln of the chance (at most) that as many of a token's texts are toxic
+    evidence = F.col("d") * (x * F.ln(x / share) + F.when(x < 1, (1 - x) * F.ln((1 - x) / (1 - share))).otherwise(0.0))
+    held_by = dict(counts.filter("NOT endswith(token, '*')").groupBy("d").count().collect())  # a row a number of texts, of train_docs at most
+    needed = least_evidence(held_by, n1, n0)
+    rows = counts.filter(x > share).filter(evidence >= needed).orderBy(F.desc(evidence), "token").collect()
     discard(docs.sparkSession, path)
     all1, all0 = all1 or 1, max(1, (every or 1) - (all1 or 1))
 
@@ -221,10 +226,28 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)[a:b]], ["x", "_t"])
 
     points = sample.select("_text", (F.col("_toxic") == 1).alias("_t")).mapInArrow(measure, "x double, _t boolean").collect()
+    discard(docs.sparkSession, sample_path)
     slope, intercept = _logistic(np.array([p.x for p in points]), np.array([float(p._t) for p in points]))
     return Model(model.tokens, model.scores, other, model.rate, slope, intercept)
 
 
+def least_evidence(held_by: dict[int, int], toxic: int, others: int) -> float:
+    """The evidence that a token needs. held_by: the number of words that so many texts have.
+
+    Words that too few texts have to reach it even if all of these are toxic are no tests
+    (Tarone, 1990); of the others, FALSE_TOKENS / toxic words, one at most, may reach it by chance.
+    """
+    most = math.log((toxic + others) / toxic)  # evidence of each text if all are toxic
+    allowed = min(1.0, FALSE_TOKENS / toxic)
+    tests = sum(held_by.values())
+    for d in sorted(held_by):
+        needed = math.log(max(tests, 1) / allowed)
+        if d * most >= needed:
+            return needed
+        tests -= held_by[d]
+    return math.inf
+
+
 def _rate(scores: list[float], frequency: list[float], other: float) -> float:
     """The positive root of sum p exp(lambda s) = 1."""
     s, p = np.array([*scores, other]), np.array([*frequency, max(1e-9, 1 - sum(frequency))])
@@ -257,6 +280,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), float(w[1] - slope * mid)
 
 
+@keeps_names
 def score_documents(docs: DataFrame, model: Model, text: str = "text", significance: float = 1e-3) -> DataFrame:
     """docs with toxic_score (0 to 1), toxic (score at least 0.5) and toxic_spans.
 
