@@ -1,14 +1,17 @@
 """Exact top-k inner products by the three-phase uniform threshold algorithm (Cao and Wang, 2004).
 
-A score is the sum of partial scores over groups of dimensions, the lists. Phase 1: every
-block of candidates gathers the best of each list and resolves these in full; the k-th best
-over all blocks is a score that the true k-th best cannot fall below. Phase 2: that cutoff
-goes to every block, and a block keeps the candidates of which some list reaches cutoff / m,
-as a total of m lists that all stay below it stays below the cutoff. Phase 3: the scores of
-those kept are resolved exactly and the best k of them returned.
+A score is the sum of partial scores over groups of dimensions, the lists. Phase 1: a few
+cells of candidates, for each query its own, gather the best of each list and resolve these in
+full; the k-th best of them is a score that the true k-th best cannot fall below. Phase 2: that
+cutoff goes to every cell. A cell leaves out candidates whose length times the query's stays
+below the cutoff, and keeps those of which some list reaches cutoff / m, as a total of m lists
+that all stay below it stays below the cutoff. Phase 3: the scores of those kept are resolved
+exactly and the best k of them returned.
 
 Queries and candidates are dealt to a grid of cells by block numbers, so the work is spread
-over (query blocks x candidate blocks) tasks, and no side is broadcast.
+over (query blocks x candidate cells) tasks, and no side is broadcast. Exact search by inner
+product has no bound that always saves work: where vectors are equally long and evenly spread,
+phase 2 multiplies every query with every candidate, once.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stage, table
+from .store import bound_batches, stage, table
 
 SCALE = 64
 LISTS = 4
+#: Cells that give a query its cutoff.
+FIRST_CELLS = 2
 
 
 def quantise(df: DataFrame, vec_id: str, embedding: str, scale: int = SCALE) -> DataFrame:
@@ -127,23 +132,29 @@ def _drop_self(mask: np.ndarray, query_ids: np.ndarray, ids: np.ndarray) -> None
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, lists: int = LISTS, block_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best candidates of another id, ties to the smaller vec_id.
 
-    Both sides are (vec_id, vec) as quantise gives them; all vectors have one length. Rows
+    Both sides are (vec_id, vec) as quantise gives them; vectors of different lengths raise an error. Rows
     that repeat a query's id are no candidates of it; a query id that repeats is one query (the
     first of its vectors in byte order). Candidates that repeat in id and vector count each.
     Without candidates, or without queries, no rows.
     """
     spark = candidates.sparkSession
     queries = queries.groupBy("vec_id").agg(F.min("vec").alias("vec"))
-    n_query = max(1, -(-queries.count() // (block_rows // 4)))
-    n_cell = max(1, -(-candidates.count() // block_rows))
+    bound_batches(spark)
+    sizes = [df.agg(F.count("*"), F.min(F.octet_length("vec")), F.max(F.octet_length("vec"))).first() for df in (queries, candidates)]
+    if len({x for s in sizes for x in s[1:] if x is not None}) > 1:
+        raise ValueError("vectors differ in length")
+    n_query = max(1, -(-sizes[0][0] // (4 * block_rows)))
+    n_cell = max(1, -(-sizes[1][0] // block_rows))
     n_cell = max(n_cell, min(64, -(-spark.sparkContext.defaultParallelism // n_query)))
     row = F.pmod(F.xxhash64("vec_id", "vec"), F.lit(1 << 30))
     # grid: candidates have a cell and go to every query block, queries have a block and go to every cell
     cand = candidates.select(F.pmod(row, F.lit(n_cell)).alias("_cell"), F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).alias("_block"), "vec_id", "vec")
     asked = queries.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(n_query)).cast("int"))
 
-    def to_cells(df: DataFrame) -> DataFrame:
-        return df.withColumn("_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_cell - 1).cast("long"))))
+    def to_cells(df: DataFrame, most: int) -> DataFrame:
+        """Each query in its block's cells, up to `most` of them from one that its id chooses."""
+        step = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(most, n_cell) - 1).cast("long")))
+        return df.withColumn("_cell", step).withColumn("_cell", F.pmod(F.col("_cell") + F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_cell)), F.lit(n_cell)))
 
     def sides(left: pa.Table, right: pa.Table) -> tuple:
         q = left.combine_chunks().sort_by("vec_id")
@@ -169,19 +180,24 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, lists: int = L
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         table_, q_ids, q, ids, v = sides(left, right)
         cutoff = table_.column("cutoff").to_numpy()
+        length, q_length = np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)
         out = []
         for a in range(0, len(q), 256):
-            row, vec, score = later_phases(q_ids[a : a + 256], q[a : a + 256], cutoff[a : a + 256], ids, v, k, lists)
+            few = slice(a, a + 256)
+            # a product is at most the product of the lengths; the slight rest covers rounding
+            needed = np.min(np.where(cutoff[few] > 0, cutoff[few] / np.maximum(q_length[few], 1e-9), 0.0)) * (1 - 1e-9)
+            can = length >= needed
+            row, vec, score = later_phases(q_ids[few], q[few], cutoff[few], ids[can], v[can], k, lists) if can.any() else (np.empty(0, np.int64),) * 3
             out.append((q_ids[a + row], vec, score))
         i, c, s = (np.concatenate(x) for x in zip(*out, strict=True))
         return pa.table({"query_id": i, "vec_id": c, "score": s})
 
     key = ["_cell", "_block"]
-    phase1 = to_cells(asked).groupBy(*key).cogroup(cand.groupBy(*key)).applyInArrow(first, "query_id bigint, score bigint")
+    phase1 = to_cells(asked, FIRST_CELLS).groupBy(*key).cogroup(cand.groupBy(*key)).applyInArrow(first, "query_id bigint, score bigint")
     ranked = phase1.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
     cutoffs = ranked.filter(F.col("_n") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("cutoff"))
     bounded, _ = stage(asked.join(cutoffs, "vec_id", "left").fillna(-(2**53), ["cutoff"]), "cutoffs")
-    found = to_cells(bounded).groupBy(*key).cogroup(cand.groupBy(*key)).applyInArrow(later, "query_id bigint, vec_id bigint, score bigint")
+    found = to_cells(bounded, n_cell).groupBy(*key).cogroup(cand.groupBy(*key)).applyInArrow(later, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
