@@ -32,7 +32,7 @@ _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 _NONE = np.int32(2**31 - 1)
 SLICE_BYTES = 4_000_000
 #: Words of up to KEPT_BYTES whose ids a task keeps from slice to slice; beyond KEPT_WORDS it starts anew.
-KEPT_WORDS, KEPT_BYTES = 131_072, 48
+KEPT_WORDS, KEPT_BYTES = 262_144, 48
 #: Ids that are decoded at a time.
 _DECODED_IDS = 1 << 17
 
@@ -264,7 +264,7 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values[start[i] : start[i] + size[i]] one after another, and where each begins (n + 1)."""
     at = np.concatenate(([0], np.cumsum(size)))
     return values[np.repeat(start - at[:-1], size) + np.arange(at[-1])], at
@@ -282,7 +282,7 @@ def encode_batch(texts: pa.Array, bpe: Bpe, kept: dict[bytes, bytes] | None = No
         coded = words.dictionary_encode()
         ids, counts = _ids_of(coded.dictionary, bpe, kept)
         word = coded.indices.to_numpy(zero_copy_only=False)
-        flat, word_at = _gather(ids, (np.cumsum(counts) - counts)[word], counts[word])
+        flat, word_at = gather(ids, (np.cumsum(counts) - counts)[word], counts[word])
         at = word_at[first]
         if owner is not None:
             flat, at = _with_special(flat, at, owner, b - a)

@@ -26,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Bpe, default_tokenizer, encode_batch, load
-from .store import bound_batches, new_path, stage, table
+from .bpe import Bpe, default_tokenizer, encode_batch, gather
+from .store import bound_batches, filesystem, new_path, stage, table
 from .words import texts_of, tidy
 
 MAGIC = b"PLTOKEN2"
 BLOCK_IDS = 1 << 16
 BLOCK_DOCS = 1 << 16
+#: Words that go to the library as one text, and first bytes of characters that may be white space.
+_JOINED_WORDS, _MAY_BE_WHITE = 2_000, frozenset((0xC2, 0xE1, 0xE2, 0xE3))
 #: Bytes of text that a file is to hold at most, and that justify a file of their own where cores wait.
-FILE_BYTES, LEAST_FILE_BYTES = 256 << 20, 1 << 20
+FILE_BYTES, LEAST_FILE_BYTES = 128 << 20, 1 << 20
 
 
 def bits_for(n_ids: int) -> int:
@@ -57,17 +59,11 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     return flat @ (np.uint32(1) << np.arange(bits - 1, -1, -1, dtype=np.uint32))
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else os.path.abspath(path))
-
-
 class Writer:
     """Writes one file; it appears under its name only when close() ends, so a lost attempt leaves nothing behind."""
 
     def __init__(self, path: str, n_ids: int, attempt: str = ""):
-        self.fs, self.path = _filesystem(path)
+        self.fs, self.path = filesystem(path)
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
         self.own = f"{self.path}.{attempt or os.getpid()}.part"
         self.out = self.fs.open_output_stream(self.own)
@@ -123,8 +119,8 @@ class Reader:
     """Reads a file; any range of tokens or of documents costs only its blocks."""
 
     def __init__(self, path: str):
-        filesystem, at = _filesystem(path)
-        self.file = filesystem.open_input_file(at)
+        store, at = filesystem(path)
+        self.file = store.open_input_file(at)
         size = self.file.size()
         (n,) = struct.unpack("<I", self._at(size - 12, 4))
         if self._at(size - 8, 8) != MAGIC or self._at(0, 8) != MAGIC:
@@ -169,7 +165,7 @@ class Library(Bpe):
 
     Bpe refuses files that cut texts in any other way than the library's byte-level rule,
     which never looks beyond a word, so a text's ids are those of its words, and each
-    distinct word needs to be encoded once.
+    distinct word needs to be encoded once. Where ids end is checked against the bytes.
     """
 
     def __init__(self, path: str):
@@ -183,15 +179,31 @@ class Library(Bpe):
         self.tokenizer.encode_special_tokens = True  # special tokens are cut out before
 
     def encode_distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(words.cast(pa.string()).to_pylist(), add_special_tokens=False)
-        lists = [e.ids for e in found]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())), counts
+        """Words after a space go to the library many at a time, as the text that they make; the others one by one."""
+        names = words.to_pylist()
+        size = np.fromiter(map(len, names), np.int64, len(names))
+        joined = np.fromiter((len(w) > 1 and w[0] == 32 and w[1] > 32 and w[1] not in _MAY_BE_WHITE for w in names), bool, len(names))
+        together, alone = np.flatnonzero(joined), np.flatnonzero(~joined)
+        cuts = range(0, len(together), _JOINED_WORDS)
+        texts = [b"".join([names[i] for i in together[a : a + _JOINED_WORDS].tolist()]).decode() for a in cuts] + [names[i].decode() for i in alone.tolist()]
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(lists), np.int32)
+        # ids spell their words' bytes, so the bytes tell where a word's ids end
+        order = np.concatenate([together, alone])
+        ends, wanted = np.cumsum(self._token_size[flat]), np.cumsum(size[order])
+        last = np.searchsorted(ends, wanted)
+        if len(flat) and not (ends[np.minimum(last, len(ends) - 1)] == wanted).all():
+            raise ValueError("the library cut a text at other places")
+        counts = np.empty(len(names), np.int64)
+        counts[order] = np.diff(last + 1, prepend=0)
+        start = np.empty(len(names), np.int64)
+        start[order] = np.concatenate(([0], last[:-1] + 1)) if len(order) else start[order]
+        return gather(flat, start, counts)[0], counts
 
 
 def files_for(n_bytes: int, cores: int) -> int:
     """Files for texts of n_bytes: none above FILE_BYTES, and enough for all cores as long as these get LEAST_FILE_BYTES each."""
-    return max(1, -(-n_bytes // FILE_BYTES), min(2 * cores, -(-n_bytes // LEAST_FILE_BYTES)))
+    return max(1, -(-n_bytes // FILE_BYTES), min(4 * cores, -(-n_bytes // LEAST_FILE_BYTES)))
 
 
 def write_tokens(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = 0, files: int | None = None) -> DataFrame:
