@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .simhash import _SHIFT_ROWS, SLAB_ROWS, _majority, pivot_distances, shingle_hashes
-from .store import discard, stage
+from .store import discard, keeps_names, stage
 from .words import slices, texts_of, tidy
 
 WORDS, REACH, SKETCH, PIVOTS = 5, 24, 8, 4
@@ -260,6 +260,7 @@ def _whole_buckets(batches: Iterator[pa.RecordBatch], most_rows: int) -> Iterato
         yield numbered(rows), rows
 
 
+@keeps_names
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of exact copies and of texts linked at a similarity of 0.8: that of the least doc_id.
 

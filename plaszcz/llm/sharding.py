@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import stage
+from .store import keeps_names, stage
 
 _STEP = np.uint64(2862933555777941757)
 
@@ -42,6 +42,7 @@ def _jump_udf(n_shards: int):
     return shard_of
 
 
+@keeps_names
 def assign_shards(df: DataFrame, key: str, n_shards: int, rows_per_bucket: int = 1_000_000) -> DataFrame:
     """Add shard, grown_shard (with one more shard) and slot (gapless from 0 within each shard).
 

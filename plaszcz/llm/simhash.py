@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import discard, stage, table
+from .store import discard, keeps_names, stage, table
 from .words import joined_words, slices, split_words, texts_of, tidy
 from .xxh import xxh64_ranges
 
@@ -243,6 +243,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarra
             yield np.concatenate(([0], np.cumsum((t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])))), fp
 
 
+@keeps_names
 def near_classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words: int = 4, reach: int = 4, seed: int = 42) -> DataFrame:
     """df's columns other than the text, with fingerprint (16 hex digits) and component_id.
 

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import html as html_lib
 import math
+import os
+import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plaszcz.llm import components, decontam, langid, nearcopies, simhash, suffix, topk, toxicity, wrappers
+from plaszcz.llm import components, decontam, langid, nearcopies, queries, simhash, suffix, topk, toxicity, wrappers
+
+DATA = Path(os.environ.get("ORACLE_DATA", "/root/testdata/sf0.001"))
 
 SCHEMA = "doc_id bigint, text string, kept string, leaks string, lang_pred string, toxic string, main_text string"
 RNG = np.random.default_rng(11)
@@ -39,7 +45,8 @@ def brute_removed(texts: list, t: int) -> list[bytearray]:
 
 
 @pytest.mark.parametrize("group_rows", [20_000, 2])
-def test_repeated_passages(spark, group_rows):
+def test_repeated_passages(spark, group_rows, monkeypatch):
+    monkeypatch.setattr(suffix, "_ROW_ASKS", min(group_rows, 4_096))
     a, b, c = prose(60), prose(45), prose(12)
     texts = [None, "", prose(200), a, a, prose(30) + a + prose(30), prose(20) + b + prose(9) + b, "ab" * 400, "x" * 700, prose(5), a[:199], a[:200], c + prose(40), prose(33) + c]
     texts += [prose(20) + b[k : k + 205] + prose(20) for k in range(0, 60, 7)] + [prose(15) + a[3:260] + prose(15) for _ in range(6)]
@@ -153,14 +160,17 @@ def bm25_brute(index_texts: list[str], passage: list[str]) -> list[float]:
     return out
 
 
-def test_retrieval_is_complete():
+def test_retrieval_is_complete(monkeypatch):
     rng = np.random.default_rng(4)
     items = [prose(int(rng.integers(5, 40)), rng) for _ in range(70)]
     index = decontam.build_index(list(range(70)), items)
     passages = [items[i].split()[: int(rng.integers(3, 40))] + prose(60, rng).split() for i in range(70)]
     vocabulary = {t: i for i, t in enumerate(index.terms.to_pylist())}
     pairs = sorted({(p, vocabulary[w]) for p, ws in enumerate(passages) for w in ws if w in vocabulary})
+    once = decontam.retrieve(index, np.array([x for x, _ in pairs]), np.array([y for _, y in pairs]), 70, 0.4)
+    monkeypatch.setattr(decontam, "CELLS", 12)
     p, i, s = decontam.retrieve(index, np.array([x for x, _ in pairs]), np.array([y for _, y in pairs]), 70, 0.4)
+    assert all((x == y).all() for x, y in zip(once, (p, i, s)))
     got = {(int(a), int(b)): float(c) for a, b, c in zip(p, i, s)}
     want = {(k, j): x for k, ws in enumerate(passages) for j, x in enumerate(bm25_brute(items, ws)) if x >= 0.4}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
@@ -217,6 +227,8 @@ def test_top_k_against_brute_force(spark):
             s = m @ m[i]
             want = sorted(((-int(s[j]), j) for j in range(len(vectors)) if j != i))[:k]
             assert [got[i][n + 1] for n in range(k)] == [(j, -x) for x, j in want]
+    with pytest.raises(ValueError, match="differ in length"):
+        topk.top_k(q, topk.quantise(spark.createDataFrame([(1, [0.5] * 3), (2, [0.5] * 5)], "vec_id bigint, embedding array<double>"), "vec_id", "embedding")).collect()
     assert topk.top_k(q.filter("vec_id = 0"), q.limit(0)).count() == 0
     few = topk.top_k(q.filter("vec_id = 0"), q.filter("vec_id < 5"), 20).collect()
     assert sorted(r["rank"] for r in few) == [1, 2, 3, 4]
@@ -335,6 +347,13 @@ def test_toxicity_of_held_out_rows(spark):
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
 
 
+def test_evidence_follows_the_number_of_toxic_texts():
+    words = {d: 4000 // d**2 for d in range(1, 40)}
+    small, large = (toxicity.least_evidence({d: n * k for d, n in words.items()}, 10 * k, 60 * k) for k in (1, 100))
+    assert 4 * math.log(7) > small > 3 * math.log(7) and large > small + math.log(100)
+    assert toxicity.least_evidence({1: 1000}, 5, 50) == math.inf
+
+
 def test_toxic_texts_that_share_a_passage_count_each(spark):
     rng = np.random.default_rng(21)
     shared = prose(60, rng)
@@ -345,13 +364,13 @@ def test_toxic_texts_that_share_a_passage_count_each(spark):
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(3)
     kept, path = [], toxicity.stage
     try:
-        toxicity.stage = lambda df, label: kept.append(path(df, label)) or kept[-1]
+        toxicity.stage = lambda df, label: kept.append(path(df, label)) or kept.append(kept[-1][0].collect()) or kept[-2]  # the table itself goes after the fit
         model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
     finally:
         toxicity.stage = path
     assert "vile" in model.tokens
     known = {(t, y) for (i, t), (_, y) in zip(enumerate(rows), labels, strict=True) if zlib.crc32(str(i).encode()) % 5}
-    assert Counter((r._text, r._toxic) for r in kept[0][0].collect()) == Counter(known)
+    assert Counter((r._text, r._toxic) for r in kept[1]) == Counter(known)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body><div class="cookie-notice">We use cookies</div>
@@ -395,15 +414,96 @@ def test_long_lists_are_aligned_whole():
         best = now
     out = wrappers.align([name(k) for k in a], [name(k) for k in b])
     assert sum(p.weight == 2 for p in out) == best[-1] and sum(p.weight for p in out) == len(a) + len(b)
+    out = wrappers.pairs([p.key() for p in map(name, a)], [p.key() for p in map(name, b)])
+    assert len(out) == best[-1] and all(a[i] == b[j] for i, j in out) and out == sorted(set(out)) and len({j for _, j in out}) == len(out)
     page = lambda n: "".join(f"<div class=x{n * k}><i>{k}</i></div>" for k in range(600)) + f"<article><p>main {n}</p></article>"
     assert any(p.label == "article" for p in wrappers.infer([page(1), page(-1)]).children)
 
 
+def templates_of(pages):
+    host = wrappers.Host()
+    for p in pages:
+        host.add(wrappers.parse(p))
+    return host.templates()
+
+
 def test_main_region_without_an_article():
     pages = [f"<div class=wrap><div class=menu><p>Home</p></div><div class=body><p>{prose(30)}</p><p>Read more</p><p>{prose(20)}</p><p>{prose(9)}</p></div></div>" for _ in range(5)]
-    region = wrappers.main_region(wrappers.infer(pages), 5)
-    assert region["path"][:2] == ["div.wrap", "div.body"]
-    assert "Home" not in wrappers.extract(pages[0], region)
+    wrapper = wrappers.infer(pages)
+    (at,) = wrappers.main_region(wrapper, True)
+    labels = []
+    for k in at:
+        wrapper = wrapper.children[k]
+        labels.append(wrapper.label)
+    assert labels[:2] == ["div.wrap", "div.body"]
+    assert "Home" not in wrappers.extract(pages[0], templates_of(pages))[0]
+
+
+def test_only_the_alignment_of_pages_can_find_the_text():
+    rng = np.random.default_rng(81)
+    fixed = [prose(60, rng) for _ in range(4)]  # more text than any page's own
+    rows = []
+    for n in range(9):
+        menu = "".join(f"<li>{w}</li>" for w in prose(4, rng).split())
+        own = [prose(6, rng), *(prose(12, rng) for _ in range(1 + n % 3))]
+        body = f"<h1>{own[0]}</h1>" + "".join(f"<p>{t}</p>" for t in own[1:]) + f"<h4>{fixed[3][:40]}</h4>"
+        extra = f"<div><table><tr><td>{prose(3, rng)}</td></tr></table></div>" if n % 2 else ""
+        rows.append((f"<div class=q1><ul>{menu}</ul>{fixed[0]}</div><div class=q7><p>{fixed[1]}</p></div>{extra}<div class=z3>{body}</div><div class=k9><p>{fixed[2]}</p></div>", own))
+    templates = templates_of([h for h, _ in rows])
+    assert len(templates) == 2
+    for html, own in rows:
+        assert wrappers.extract(html, templates) == ("\n".join(own), True)
+        assert wrappers.extract(html, None)[0] != "\n".join(own)  # one page alone does not show it
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<article>one<hr>two</article>", "one\ntwo"), ('<div class="content-sidebar-wrap"><article><p>a</p></article></div><p>outside</p>', "a"), ('<article class="post category-search"><p>body</p></article><p>x</p>', "body"),
+        ('<article><p>see <span class="ad-hoc">this</span> now</p></article>', "see this now"), ("<article><p><a title=don't href=/x>link</a> lost text</p><p>it's more</p></article>", "link lost text\nit's more"),
+        ("<div><article>" + "<div>" * 130 + "deep<nav>menu</nav>" + "</div>" * 130 + "<p>after</p></article></div>", "deep\nafter"), ("<article><header><h1>Head</h1></header><p>t</p></article>", "Head\nt"),
+        ('<article class="comment"><p>c</p></article><article class="post"><p>body</p></article>', "body"), ("<p a='x>y' b=\"1>2\">hi</p>", "hi"), ('<div class="sidebarLeft"><p>' + "s " * 90 + "</p></div><div><p>text</p></div>", "text"), ("<p>a<br>b<wbr>c</p>", "a bc"),
+    ],
+)
+def test_markup(html, text):
+    assert wrappers.extract(html, None)[0] == text
+
+
+def test_repeated_groups_of_any_length():
+    unit = "".join(f"<div class=c{k}>x</div>" for k in range(7))
+    w = wrappers.infer([unit * 3, unit * 2])
+    assert [(c.label, c.repeated, len(c.children)) for c in w.children] == [("()", True, 7)]
+
+
+def test_wide_lists_are_generalised(monkeypatch):
+    monkeypatch.setattr(wrappers, "WIDEST", 200)
+    around = "".join(f"<div class=x{k}><i>{k}</i></div>" for k in range(300))
+    pages = [f"{around}<article><p>main {n}</p></article>{around}" for n in range(3)]
+    assert [c.label for c in wrappers.infer(pages).children] == ["*", "article", "*"]
+    assert [wrappers.extract(p, templates_of(pages)) for p in pages] == [(f"main {n}", True) for n in range(3)]
+    rng = np.random.default_rng(7)
+    page = lambda: "<article>" + "".join(f"<{rng.choice(['p', 'h3', 'ul', 'dl', 'pre', 'h5'])}>{prose(3, rng)}</>" for _ in range(700)) + "</article>"
+    pages = [page() for _ in range(4)]
+    templates = templates_of(pages)
+    for p in pages:
+        assert wrappers.extract(p, templates)[0] == wrappers.extract(p, None)[0] and wrappers.extract(p, templates)[0].count("\n") > 500
+
+
+def article_text(html: str) -> str:
+    """A second way for the test tables' pages, whose text is their only article's, in blocks and without markup."""
+    inner = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    blocks = re.split(r"</?(?:p|h1)>", inner)
+    plain = (re.sub(r"\s+", " ", html_lib.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0] == "<br>" else "", b))).strip() for b in blocks)
+    return "\n".join(b for b in plain if b)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="test tables are not here")
+def test_pages_of_the_test_tables(spark):
+    got = {r.page_id: r for r in queries.op8_wrappers(spark, str(DATA)).collect()}
+    rows = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        assert got[r.page_id].text == article_text(r.html) and got[r.page_id].n_chars == len(article_text(r.html)) and got[r.page_id].url == r.url
 
 
 def test_wrappers_see_all_pages_of_a_host(spark):

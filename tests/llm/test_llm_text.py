@@ -177,7 +177,7 @@ def test_packing_round_trip(bits):
 
 
 def test_files_follow_the_bytes():
-    assert [tokenfile.files_for(n, 8) for n in (0, 10, 3 << 20, 1 << 30, 100 << 40)] == [1, 1, 3, 16, 100 << 12]
+    assert [tokenfile.files_for(n, 8) for n in (0, 10, 3 << 20, 1 << 30, 100 << 40)] == [1, 1, 3, 32, 100 << 13]
 
 
 def test_unsupported_tokenizers_are_refused(tmp_path):
