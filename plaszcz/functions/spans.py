@@ -1,14 +1,16 @@
 """Match positions by native expressions, and the resolution of overlapping spans.
 
-Spark has no function for the positions of all matches, but the texts between matches and
-the matches themselves give them: a match starts after all that stands before it.
+Spark has no function for the positions of all matches, so a mark is put around every match by
+one replacement. Cut at the marks, a text gives by turns what stands between matches and the
+matches themselves, and a match starts after all that stands before it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "struct<entity_type: string, start: int, end: int, score: double, recognizer: string>"
@@ -16,34 +18,84 @@ SPANS = f"array<{SPAN}>"
 _HITS = "array<struct<start: int, end: int, raw: string>>"
 
 
+#: A character of private use, and the one that takes its place in texts that hold it.
+_MARK, _STAND_IN = "\ue000", "\ue001"
+
+
 def hits(text: Column, pattern: str, group: int = 0, guard: str | None = None) -> Column:
-    """array<struct<start, end, raw>> of all matches (or of one group of each), in code points, half open.
+    """array<struct<start, end, raw>> of all matches (or of group 1 of each), in code points, half open.
 
-    The pattern must not match the empty string. With a group, the group's text must be
-    the match's end or else its only occurrence in the match. guard is a cheaper pattern that
-    every text with a match also matches; texts without it are not searched.
+    The pattern must not match the empty string. With group=1 the group must stand at the top
+    of the pattern and be matched once in every match, else ValueError. guard is a cheaper
+    pattern that every text with a match also matches; texts without it are not searched.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-
-    def step(acc: Column, x: Column) -> Column:
-        whole = acc["at"] + F.length(x["b"])
-        end = whole + F.length(x["m"])
-        if group:
-            # groups close their match; a group that does not is looked up in it
-            offset = F.when(x["m"].endswith(x["g"]), F.length(x["m"]) - F.length(x["g"])).otherwise(F.position(x["g"], x["m"]) - 1)
-            start = whole + offset
-            hit = F.struct(start.cast("int").alias("start"), (start + F.length(x["g"])).cast("int").alias("end"), x["g"].alias("raw"))
-        else:
-            hit = F.struct(whole.cast("int").alias("start"), end.cast("int").alias("end"), x["m"].alias("raw"))
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
-
-    zipped = F.zip_with(F.zip_with(found, between, lambda m, b: F.struct(m.alias("m"), b.alias("b"))), inner, lambda x, g: F.struct(x["m"].alias("m"), x["b"].alias("b"), g.alias("g")))
-    real = F.filter(zipped, lambda x: x["m"].isNotNull())
-    folded = F.aggregate(real, F.struct(F.lit(0).alias("at"), F.array().cast(_HITS).alias("out")), step)
-    may = text.rlike(pattern) if guard is None else text.rlike(guard) & text.rlike(pattern)
-    return F.when(may, folded["out"]).otherwise(F.array().cast(_HITS))
+    if group:
+        pattern, last = _three_parts(pattern)
+        made, turn, wanted = f"{_MARK}$1{_MARK}$2{_MARK}${last}{_MARK}", 4, 2
+    else:
+        made, turn, wanted = f"{_MARK}$0{_MARK}", 2, 1
+    safe = F.when(F.contains(text, F.lit(_MARK)), F.translate(text, _MARK, _STAND_IN)).otherwise(text)
+    marked = F.regexp_replace(safe, F.lit(pattern), F.lit(made))
+    none = F.array().cast(_HITS)
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("at"), none.alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        end = acc["at"] + F.length(part)
+        hit = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("raw"))
+        out = F.when(acc["i"] % turn == wanted, F.concat(acc["out"], F.array(hit))).otherwise(acc["out"])
+        return F.struct((acc["i"] + 1).alias("i"), end.alias("at"), out.alias("out"))
+
+    # the marked text as a lambda's variable, so that the search runs once
+    found = F.transform(F.array(marked), lambda m: F.when(F.contains(m, F.lit(_MARK)), F.aggregate(F.split(m, _MARK, -1), start, step)["out"]).otherwise(none))[0]
+    return F.coalesce(found if guard is None else F.when(text.rlike(guard), found), none)
+
+
+def _three_parts(pattern: str) -> tuple[str, int]:
+    """The pattern as (before)(group 1)(after), and the number of the last group."""
+    flags = re.match(r"(?:\(\?[a-zA-Z]+\))*", pattern)[0]
+    rest = pattern[len(flags) :]
+    opened = closed = None
+    depth = groups = inner = at = 0
+    while at < len(rest):
+        c = rest[at]
+        if c == "\\":
+            if rest[at + 1 : at + 2].isdigit() or rest[at + 1 : at + 2] == "k":
+                raise ValueError(f"a rule with a group must not refer back to it: {pattern}")
+            at += 2
+            continue
+        if c == "[":
+            at += 1 + (rest[at + 1 : at + 2] == "^")
+            at += rest[at : at + 1] == "]"
+            while at < len(rest) and rest[at] != "]":
+                at += 2 if rest[at] == "\\" else 1
+        elif c == "(":
+            captures = rest[at + 1 : at + 2] != "?" or re.match(r"\(\?P?<[a-zA-Z]", rest[at:]) is not None
+            groups += captures
+            if captures and opened is None:
+                if depth:
+                    raise ValueError(f"group 1 of a rule must not stand inside another group: {pattern}")
+                opened = at
+            elif captures and closed is None:
+                inner += 1
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if opened is not None and closed is None and not depth:
+                closed = at
+        elif c == "|" and not depth:
+            raise ValueError(f"a rule with a group must not be an alternation: {pattern}")
+        at += 1
+    if opened is None or closed is None or rest[closed + 1 : closed + 2] in ("?", "*", "+", "{"):
+        raise ValueError(f"group 1 of a rule must be matched once: {pattern}")
+    return f"{flags}({rest[:opened]}){rest[opened : closed + 1]}({rest[closed + 1 :]})", 3 + inner
+
+
+def each(df: DataFrame, array: Column | str, name: str, *keep: Column | str) -> DataFrame:
+    """A row for each element of the array (none of them null), as column `name` beside the kept columns.
+
+    Unlike explode, this does not make Spark test the array's size first, which would compute it twice.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
 def spans(found: Column, entity_type: str, recognizer: str, score: Callable[[Column], Column]) -> Column:

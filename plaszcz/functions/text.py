@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .checksums import let
+
 #: White space at the ends of values, as Unicode has it.
 _EDGE = r"(?U)\A\s+|\s+\z"
 
@@ -18,12 +20,17 @@ def strip(value: Column) -> Column:
 def near(text: Column, position: Column, keywords: Sequence[str], window: int) -> Column:
     """Whether a keyword stands in the window around a position, both counted from the match's start."""
     start = F.greatest(position - window, F.lit(0))
-    end = F.least(position + window, F.length(text))
-    snippet = F.lower(F.substring(text, start + 1, end - start))
-    hit = F.lit(False)
-    for k in keywords:
-        hit = hit | F.contains(snippet, F.lit(k.lower()))
-    return hit
+    snippet = F.lower(F.substring(text, start + 1, position + window - start))
+    # a keyword that holds another one adds nothing
+    words = [k.lower() for k in keywords if not any(o.lower() in k.lower() for o in keywords if o != k)]
+
+    def seen(part: Column) -> Column:
+        hit = F.lit(False)
+        for k in words:
+            hit = hit | F.contains(part, F.lit(k))
+        return hit
+
+    return let(snippet, seen)
 
 
 def normal_value(value: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spans import each
 from ..functions.text import normal_value
 from ..sources.config import MARKERS
 
@@ -15,7 +16,7 @@ def explode_findings(detected: DataFrame, keys: Sequence[str] = ("doc_id", "unit
     """One row for each span: keys, start, end, entity_type, raw_value, norm_value, score, reason."""
     s = F.col("_s")
     raw = F.substring(F.col(text), s["start"] + 1, s["end"] - s["start"])
-    rows = detected.select(*keys, text, F.explode("spans").alias("_s"))
+    rows = each(detected, "spans", "_s", *keys, text)
     return rows.select(
         *keys, s["start"].alias("start"), s["end"].alias("end"), s["entity_type"].alias("entity_type"), raw.alias("raw_value"), s["score"].alias("score"), s["recognizer"].alias("reason")
     ).withColumn("norm_value", normal_value(F.col("raw_value")))

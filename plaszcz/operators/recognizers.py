@@ -18,7 +18,6 @@ from ..functions.spans import SPANS, hits, spans
 from ..functions.text import near
 from ..sources.config import Rules
 
-_SEPARATORS = r"[\s-]"
 _PL = "A-Za-zĄĆĘŁŃÓŚŹŻąćęłńóśźż"
 
 
@@ -34,13 +33,13 @@ def nip(text: Column) -> Column:
 
 
 def regon(text: Column) -> Column:
-    found = hits(text, r"(?U)\b(?:\d{9}|\d{14})\b")
+    found = hits(text, r"(?U)\b(?:\d{9}|\d{14})\b", guard=r"[0-9]{9}")
     context = ("regon", "r.e.g.o.n.", "rejestr podmiotów")
     return spans(found, "PL_REGON", "regon", lambda h: F.when(chk.regon_valid(h["raw"]), F.when(near(text, h["start"], context, 250), 0.99)))
 
 
 def krs(text: Column) -> Column:
-    found = hits(text, r"(?U)(?<!\d)\d(?:[ \t-]?\d){9}(?!\d)")
+    found = hits(text, r"(?U)(?<!\d)\d(?:[ \t-]?\d){9}(?!\d)", guard=r"\p{Nd}(?:[ \t-]?\p{Nd}){9}")
     context = ("krs", "krajowy rejestr sądowy", "rejestr sądowy", "nr krs", "numer krs")
 
     def score(h: Column) -> Column:
@@ -51,30 +50,32 @@ def krs(text: Column) -> Column:
 
 
 def pesel(text: Column) -> Column:
-    found = hits(text, r"(?U)\b\d{11}\b")
+    found = hits(text, r"(?U)\b\d{11}\b", guard=r"[0-9]{11}")
     context = ("pesel", "nr pesel", "numer pesel")
     return spans(found, "PL_PESEL", "pesel", lambda h: F.when(chk.pesel_valid(h["raw"]), F.when(near(text, h["start"], context, 150), 0.99).otherwise(0.60)))
 
 
 _ACCOUNT = r"\d{2}\s?(?:\d{4}\s?){6}"
+# only ASCII digits validate
+_FOUR_DIGITS = r"[0-9]{4}[^0-9]?[0-9]{4}[^0-9]?[0-9]{4}"
 _ACCOUNT_CONTEXT = ("rachunek", "konto", "iban", "nrb", "przelew", "nr konta", "wypłaty")
 
 
 def bank_account(text: Column) -> Column:
     """With the country code (score 1), and the bare number."""
-    coded = spans(hits(text, rf"(?iU)\bPL\s*{_ACCOUNT}\b"), "BANK_ACCOUNT", "iban", lambda h: F.when(chk.iban_valid(_digits(h["raw"], r"(?U)\s")), 1.00))
+    coded = spans(hits(text, rf"(?iU)\bPL\s*{_ACCOUNT}\b", guard=_FOUR_DIGITS), "BANK_ACCOUNT", "iban", lambda h: F.when(chk.iban_valid(_digits(h["raw"], r"(?U)\s")), 1.00))
 
     def score(h: Column) -> Column:
         bare = _digits(h["raw"], r"(?U)\s")
         return F.when((F.length(bare) == 26) & chk.iban_valid(bare), F.when(near(text, h["start"], _ACCOUNT_CONTEXT, 155), 0.99).otherwise(0.60))
 
-    return F.concat(coded, spans(hits(text, rf"(?U)\b{_ACCOUNT}\b"), "BANK_ACCOUNT", "nrb", score))
+    return F.concat(coded, spans(hits(text, rf"(?U)\b{_ACCOUNT}\b", guard=_FOUR_DIGITS), "BANK_ACCOUNT", "nrb", score))
 
 
 def phone(text: Column) -> Column:
     """International numbers of +48, and local ones near a word for telephone."""
     abroad = spans(hits(text, r"(?U)\+48[\s.-]?(?:\d[\s().-]?){9}", guard=r"\+48"), "PHONE_NUMBER", "phone", lambda h: F.lit(0.95))
-    found = hits(text, r"(?U)(?<!\d)(?:\d{3}[\s.-]?\d{3}[\s.-]?\d{3}|\d{2}[\s.-]?\d{3}[\s.-]?\d{2}[\s.-]?\d{2})(?!\d)")
+    found = hits(text, r"(?U)(?<!\d)(?:\d{3}[\s.-]?\d{3}[\s.-]?\d{3}|\d{2}[\s.-]?\d{3}[\s.-]?\d{2}[\s.-]?\d{2})(?!\d)", guard=r"\p{Nd}{2}[^\p{Nd}]?\p{Nd}{3}|\p{Nd}{3}[^\p{Nd}]\p{Nd}{3}")
     context = ("tel", "telefon", "kom.", "komórka", "kontakt", "fax", "mobile", "tel.")
     # nine digits can be a REGON but neither a NIP nor a PESEL
     local = spans(found, "PHONE_NUMBER", "phone", lambda h: F.when(~chk.regon_valid(_digits(h["raw"], r"(?U)[\s.-]")) & near(text, h["start"], context, 120), 0.85))
@@ -82,12 +83,12 @@ def phone(text: Column) -> Column:
 
 
 def id_card(text: Column) -> Column:
-    found = hits(text, r"(?U)(?<![A-Z0-9])[A-Z]{3}\s*\d{6}(?![A-Z0-9])")
+    found = hits(text, r"(?U)(?<![A-Z0-9])[A-Z]{3}\s*\d{6}(?![A-Z0-9])", guard=r"[0-9]{6}")
     return spans(found, "PL_ID_CARD", "identity", lambda h: F.when(chk.id_card_valid(_digits(h["raw"], r"(?U)\s")), 0.99))
 
 
 def passport(text: Column) -> Column:
-    found = hits(text, r"(?U)(?<![A-Z0-9])[A-Z]{2}\s*\d{7}(?![A-Z0-9])")
+    found = hits(text, r"(?U)(?<![A-Z0-9])[A-Z]{2}\s*\d{7}(?![A-Z0-9])", guard=r"\p{Nd}{7}")
     context = ("paszport", "paszportu", "nr paszportu", "seria i numer")
     return spans(found, "PL_PASSPORT", "identity", lambda h: F.when(near(text, h["start"], context, 150), 0.90).otherwise(0.60))
 

@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checksums as chk
+from ..functions.spans import each
 from ..functions.text import near
 from ..operators import recognizers as rec
 from ..sources.config import PLATE_PREFIXES, Rules
+from .tables import spread, table
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    return spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c")))
 
 
 def digits(factor: int, n: int, offset: int = 0) -> str:
@@ -93,7 +95,7 @@ def _found(text: str, find) -> object:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = _orders(spark, sf_dir).select("k", "c", F.expr(text).alias("text"))
-        return made.select("k", F.explode(find(F.col("text"))).alias("s")).select(
+        return each(made, find(F.col("text")), "s", "k").select(
             "k", F.col("s.entity_type").alias("entity_type"), F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.score").alias("score")
         )
 
@@ -148,7 +150,7 @@ def rec_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.lexicon import person_spans
 
     made = _orders(spark, sf_dir).select("k", F.expr(_PERSON).alias("text"))
-    return made.select("k", F.explode(person_spans(F.col("text"), _PEOPLE)).alias("s")).select(
+    return each(made, person_spans(F.col("text"), _PEOPLE), "s", "k").select(
         "k", F.col("s.entity_type").alias("entity_type"), F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.score").alias("score")
     )
 
@@ -166,9 +168,9 @@ def rec_teryt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole lines that name a nation, with the nations as counties and the regions as streets."""
     from ..operators.lexicon import match_lines
 
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    region = spark.read.parquet(f"{sf_dir}/region.parquet")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    nation = table(spark, sf_dir, "nation")
+    region = table(spark, sf_dir, "region")
+    customer = table(spark, sf_dir, "customer")
     dictionary = nation.select(F.lit("county").alias("level"), F.lower("n_name").alias("name")).union(region.select(F.lit("street"), F.col("r_name")))
     lines = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     text = F.concat(F.col("c_name"), F.lit("\n  "), F.initcap("n_name"), F.lit(" \r\nUlica:\n"), F.lower("r_name"), F.lit("\n"), F.col("r_name"), F.lit(" x"))
@@ -191,7 +193,7 @@ def rec_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.detect import detect
     from ..operators.findings import explode_findings
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(0).alias("unit_no"), "text").filter(F.contains("text", F.lit("@")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("unit_no"), "text").filter(F.contains("text", F.lit("@")))
     found = explode_findings(detect(docs, entity_types=["EMAIL_ADDRESS"]))
     return found.groupBy("doc_id", "entity_type", "raw_value").agg(F.count("*").alias("n"), F.max("score").alias("score"))
 
@@ -206,8 +208,8 @@ def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All recognizers over all documents, resolved: spans by type and score."""
     from ..operators.detect import detect
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    spans = detect(docs).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = each(detect(docs), "spans", "s", "doc_id").select("doc_id", "s.*")
     return spans.select("doc_id", "entity_type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "score")
 
 

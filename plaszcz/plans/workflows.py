@@ -6,21 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..functions.spans import SPANS, allow, resolve
+from ..functions.spans import SPANS, allow, each, resolve
 from ..operators import dictionaries as dic
 from ..operators import findings as fnd
 from ..operators import redact as red
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from .tables import table
 
 
 def allowlist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' segments as spans of a text; one segment is on the allowlist."""
     text = F.concat(F.lit("["), F.col("c_mktsegment"), F.lit(" ]"))
     span = F.struct(F.lit("ORGANIZATION").alias("entity_type"), F.lit(1).alias("start"), (F.length("c_mktsegment") + 2).alias("end"), F.lit(0.9).alias("score"), F.lit("x").alias("recognizer"))
-    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), text.alias("text"), F.array(span).cast(SPANS).alias("spans"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), text.alias("text"), F.array(span).cast(SPANS).alias("spans"))
     return rows.select("k", F.size(allow(F.col("spans"), F.col("text"), [" Machinery ", "other"])).alias("n"))
 
 
@@ -31,8 +28,8 @@ def overlap_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = F.struct(
         kind.alias("entity_type"), start.alias("start"), (start + 3 + F.col("l_linenumber")).cast("int").alias("end"), (F.col("l_linenumber") / 10).alias("score"), F.lit("x").alias("recognizer")
     )
-    lines = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(span).alias("s"))
-    kept = lines.select(F.col("l_orderkey").alias("k"), F.explode(resolve(F.col("s").cast(SPANS))).alias("s"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(span).alias("s"))
+    kept = each(lines.withColumnRenamed("l_orderkey", "k"), resolve(F.col("s").cast(SPANS)), "x", "k").withColumnRenamed("x", "s")
     return kept.select("k", F.col("s.entity_type").alias("entity_type"), F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
 
 
@@ -51,7 +48,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as findings: a customer's orders form a document, the clerk's value has case and space variants."""
     kinds = F.element_at(F.array(*[F.lit(x) for x in ("PL_NIP", "PERSON", "EMAIL_ADDRESS", "CUSTOM")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
     raw = F.concat(F.when(F.col("o_orderkey") % 3 == 0, " Val").otherwise("vaL"), (F.col("o_custkey") % 97).cast("string"), F.when(F.col("o_orderkey") % 5 == 0, " ").otherwise(""))
-    o = _table(spark, sf_dir, "orders")
+    o = table(spark, sf_dir, "orders")
     return o.select(
         (F.col("o_custkey") % 50).alias("doc_id"), F.lit(0).alias("unit_no"), F.col("o_orderkey").cast("int").alias("start"), (F.col("o_orderkey") + 5).cast("int").alias("end"), kinds.alias("entity_type"),
         raw.alias("raw_value"), fn.normal_value(raw).alias("norm_value"), (F.col("o_orderkey") % 10 / 10).alias("score"), F.lit("key").alias("reason"),
@@ -110,7 +107,7 @@ def confirm_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brand and type are confirmed for every part of a size; names hold them or not."""
-    part = _table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part")
     units = part.select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" / ", "p_name", "p_brand", "p_type", "p_brand").alias("text"))
     groups = part.select(F.col("p_partkey").alias("doc_id"), F.lit("1").alias("id"), F.col("p_brand").alias("raw_value"), F.lit("[FIRMA_1]").alias("marker")).filter("p_size % 2 = 0")
     groups = groups.unionByName(part.select(F.col("p_partkey").alias("doc_id"), F.lit("2").alias("id"), F.lit("FIRMA").alias("raw_value"), F.lit("[X_2]").alias("marker")).filter("p_size % 4 = 0"))
@@ -126,7 +123,7 @@ FROM (SELECT p_partkey, p_size, CASE WHEN p_size % 2 = 0 THEN replace(t, p_brand
 
 def redact_by_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customer's name and segment are replaced where they stand, the number between them stays."""
-    c = _table(spark, sf_dir, "customer").withColumn("n", F.col("c_custkey").cast("string"))
+    c = table(spark, sf_dir, "customer").withColumn("n", F.col("c_custkey").cast("string"))
     units = c.select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("unit_no"), F.concat(F.lit("é "), "c_name", F.lit(": "), "n", F.lit(" ("), "c_mktsegment", F.lit(")")).alias("text"))
     at = F.length("c_name") + F.length("n") + 6
     spans = c.select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("unit_no"), F.lit(2).alias("start"), (F.length("c_name") + 2).alias("end"), F.lit("[OSOBA_1]").alias("marker"))
@@ -136,7 +133,7 @@ def redact_by_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values left after redaction: those of which only the first has been replaced."""
-    part = _table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part")
     done = part.select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("[FIRMA_1] "), "p_brand")).otherwise(F.lit("[FIRMA_1]")).alias("redacted"))
     return red.leaks(done, part.select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("raw_value")))
 
@@ -146,7 +143,7 @@ def _name_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     value = F.when(k % 11 == 0, "  ").when(k % 13 == 0, F.concat(F.lit("a?"), k.cast("string"))).otherwise(F.concat(F.when(k % 2 == 0, " Imię").otherwise("imię"), (k % 300).cast("string")))
     count = F.when(k % 3 == 0, "n/a").otherwise(k.cast("string"))
-    return _table(spark, sf_dir, "customer").select((k + 1).cast("int").alias("line_no"), value.alias("value"), count.alias("count"))
+    return table(spark, sf_dir, "customer").select((k + 1).cast("int").alias("line_no"), value.alias("value"), count.alias("count"))
 
 
 def dict_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +169,7 @@ def dict_terc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as rows of the register: the key's remainders fill the codes."""
     k = F.col("s_suppkey")
     filled = lambda test, v: F.when(test, v).otherwise("")
-    rows = _table(spark, sf_dir, "supplier").select(
+    rows = table(spark, sf_dir, "supplier").select(
         k.cast("int").alias("line_no"), F.lit("02").alias("woj"), filled(k % 4 > 0, "01").alias("pow"), filled(k % 4 > 1, "03").alias("gmi"), filled(k % 4 > 1, (k % 5 + 1).cast("string")).alias("rodz"),
         F.concat(F.lit(" Nazwa  "), (k % 60).cast("string"), F.when(k % 17 == 0, "?").otherwise("")).alias("nazwa"),
     )
@@ -190,21 +187,21 @@ UNION SELECT 'commune', concat('m. ', v) FROM r WHERE k % 4 > 1 AND k % 5 = 0
 
 
 def dict_ulic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "part").select(
+    rows = table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("int").alias("line_no"), F.concat(F.lit(" "), "p_brand").alias("nazwa_1"), F.when(F.col("p_size") % 3 == 0, F.lit("")).otherwise(F.col("p_type")).alias("nazwa_2")
     )
     return dic.build_streets(rows).values.select("line_no", "value")
 
 
 def dict_simc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("line_no"), F.concat(F.lit("\t"), "p_type", F.lit("  "), F.col("p_size").cast("string")).alias("value"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("line_no"), F.concat(F.lit("\t"), "p_type", F.lit("  "), F.col("p_size").cast("string")).alias("value"))
     return dic.build_localities(rows).values.select("line_no", "value")
 
 
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value helpers over names made from parts."""
     raw = F.concat(F.lit(" ;"), F.initcap("p_type"), F.lit("\t "), F.col("p_size").cast("string"), F.lit(", "))
-    p = _table(spark, sf_dir, "part").select("p_partkey", "p_size", raw.alias("v"), F.concat(F.when(F.col("p_size") % 2 == 0, "./docProps\\").otherwise("word/"), "p_brand").alias("path"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", raw.alias("v"), F.concat(F.when(F.col("p_size") % 2 == 0, "./docProps\\").otherwise("word/"), "p_brand").alias("path"))
     head = F.concat(F.lit("a"), F.element_at(F.array(F.lit(";"), F.lit(","), F.lit("\t"), F.lit("")), (F.col("p_size") % 4 + 1).cast("int")), F.lit("b"))
     return p.select(
         F.col("p_partkey").alias("k"), fn.normal_locality(F.col("v")).alias("locality"), fn.normal_line(F.col("v")).alias("line"), fn.normal_value(F.col("v")).alias("norm"),
@@ -223,16 +220,16 @@ FROM p
 
 def shared_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells looked up by (document, index): orders' customers as cells, customers as strings."""
-    cells = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 10).alias("doc_id"), F.floor(F.col("o_custkey") / 10).alias("idx"))
-    strings = _table(spark, sf_dir, "customer").select((F.col("c_custkey") % 10).alias("doc_id"), F.floor(F.col("c_custkey") / 10).alias("idx"), F.col("c_name").alias("value"))
+    cells = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 10).alias("doc_id"), F.floor(F.col("o_custkey") / 10).alias("idx"))
+    strings = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 10).alias("doc_id"), F.floor(F.col("c_custkey") / 10).alias("idx"), F.col("c_name").alias("value"))
     return cells.join(strings, ["doc_id", "idx"], "left").select("k", "value")
 
 
 def first_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first place of a value on its page: an order's lines as places."""
-    lines = _table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem")
     hits = lines.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.lit("v").alias("raw_value"), F.struct("l_linenumber", "l_partkey", "l_quantity").alias("hit_no"), F.struct(F.col("l_quantity").alias("x0")).alias("bbox"))
-    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.lit("v").alias("raw_value"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.lit("v").alias("raw_value"))
     return fnd.add_boxes(orders, hits).select("doc_id", F.col("bbox.x0").alias("x0"))
 
 
