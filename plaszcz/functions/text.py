@@ -78,7 +78,8 @@ def is_property_part(name: Column) -> Column:
 
 
 def embedded_risk(name: Column) -> Column:
-    return name.rlike("(?i)embeddings|activeX|oleObject|digitalSignature|vbaProject")
+    """Whether a part may hold text that is not looked at, as sources.ooxml.embedded_risks has it."""
+    return name.rlike("(?i)word/embeddings/|activeX|oleObject|/digitalSignature|vbaProject")
 
 
 def cell_target(location: Column, part: Column, cell: Column) -> Column:

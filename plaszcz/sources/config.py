@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -27,10 +29,11 @@ LEGAL_FORMS = (
 )
 
 # First letters of vehicle registration plates.
-PLATE_PREFIXES = tuple(
-    "B C CB CG CR CS CT CW D DB DJ DL DW DZ E EK EL F FG FS FZ G GA GD GS GZ H K KR L LU N O OK OP P PO PZ R RZ S SK T TK "
-    "W WA WB WD WE WF WH WI WJ WK WN WP WR WS WT WU WW WX WY WZ Z ZA ZK ZS".split()
-)
+PLATE_PREFIXES = (
+    "B", "C", "CB", "CG", "CR", "CS", "CT", "CW", "D", "DB", "DJ", "DL", "DW", "DZ", "E", "EK", "EL", "F", "FG", "FS", "FZ", "G", "GA", "GD",
+    "GS", "GZ", "H", "K", "KR", "L", "LU", "N", "O", "OK", "OP", "P", "PO", "PZ", "R", "RZ", "S", "SK", "T", "TK", "W", "WA", "WB", "WD",
+    "WE", "WF", "WH", "WI", "WJ", "WK", "WN", "WP", "WR", "WS", "WT", "WU", "WW", "WX", "WY", "WZ", "Z", "ZA", "ZK", "ZS",
+)
 
 # Voivodeships.
 VOIVODESHIPS = (
@@ -42,7 +45,9 @@ VOIVODESHIPS = (
 POLICY_RULES = (r"(?i)\b(?:polisa|nr polisy|numer polisy)\s*[:#-]?\s*([A-Z0-9][A-Z0-9./_-]{4,30})\b",)
 CLAIM_RULES = (r"(?i)\b(?:szkoda|nr szkody|numer szkody|roszczenie)\s*[:#-]?\s*([A-Z0-9][A-Z0-9./_-]{4,30})\b",)
 
+# Values that are never reported, and the legal forms of a rule file without any.
 ALLOWLIST = ("Jan Kowalski",)
+FALLBACK_FORMS = ("sp. z o.o.", "s.a.", "spółka akcyjna", "sp. k.")
 
 
 @dataclass(frozen=True)
@@ -85,12 +90,86 @@ def read_first_column(path: str | Path) -> frozenset[str]:
         return upper_set(row[0] for i, row in enumerate(csv.reader(f, delimiter=";")) if i and row)
 
 
-def _yaml(path: Path) -> dict:
-    try:
-        import yaml
-    except ImportError as e:
-        raise RuntimeError(f"{path} needs PyYAML, which is not installed; pass the values as Rules(...) instead") from e
-    return yaml.safe_load(path.read_text(encoding="utf-8")) or {}
+def read_rule_file(path: str | Path) -> dict:
+    """A rule file: mappings, lists and scalars of YAML's plain block form, and lists in brackets.
+
+    Anything else that YAML knows (anchors, tags, text blocks, mappings in braces) is a ValueError.
+    """
+    lines = []
+    for number, raw in enumerate(Path(path).read_text(encoding="utf-8-sig").splitlines(), 1):
+        text = _without_comment(raw)
+        if text.strip() and text.strip() != "---":
+            if "\t" in text[: len(text) - len(text.lstrip())]:
+                raise ValueError(f"{path}, line {number}: a tab indents")
+            lines.append((len(text) - len(text.lstrip()), text.strip(), f"{path}, line {number}"))
+    value, rest = _block(lines, lines[0][0]) if lines else ({}, [])
+    if rest or not isinstance(value, dict):
+        raise ValueError(f"{path} is no mapping" if not rest else f"{rest[0][2]}: unexpected indentation")
+    return value
+
+
+def _without_comment(line: str) -> str:
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote and not (quote == '"' and line[i - 1] == "\\") else quote
+        elif c in "\"'" and (not line[:i].strip() or line[i - 1] in " [,"):
+            quote = c
+        elif c == "#" and (i == 0 or line[i - 1] in " \t"):
+            return line[:i].rstrip()
+    return line.rstrip()
+
+
+def _block(lines: list[tuple[int, str, str]], indent: int) -> tuple[object, list]:
+    """The value that the lines of one indentation make, and the lines after it."""
+    is_list = lines[0][1].startswith("- ") or lines[0][1] == "-"
+    out: list | dict = [] if is_list else {}
+    while lines and lines[0][0] == indent and (lines[0][1].startswith("- ") or lines[0][1] == "-") == is_list:
+        _, text, where = lines[0]
+        lines = lines[1:]
+        if is_list:
+            inner = text[1:].strip()
+            if _KEY.match(inner):  # a mapping that begins beside the dash
+                at = indent + len(text) - len(inner)
+                value, lines = _block([(at, inner, where), *lines], at)
+            elif inner:
+                value = _scalar(inner, where)
+            else:
+                value, lines = _block(lines, lines[0][0]) if lines and lines[0][0] > indent else (None, lines)
+            out.append(value)
+            continue
+        m = _KEY.match(text)
+        if not m:
+            raise ValueError(f"{where}: no key")
+        key, rest = str(_scalar(m[1], where)), text[m.end() :].strip()
+        if rest:
+            out[key] = _scalar(rest, where)
+        elif lines and (lines[0][0] > indent or lines[0][0] == indent and lines[0][1].startswith("- ")):
+            out[key], lines = _block(lines, lines[0][0])
+        else:
+            out[key] = None
+    return out, lines
+
+
+_KEY = re.compile(r"(\"[^\"]*\"|'[^']*'|[^\s\"'\[\]{}#&*!|>%@`-][^:]*?)\s*:(?=\s|$)")
+
+
+def _scalar(text: str, where: str) -> object:
+    if text[0] == "[" and text[-1] == "]":
+        return [_scalar(x.strip(), where) for x in _ITEM.findall(text[1:-1]) if x.strip()]
+    if text[0] == '"' and text[-1] == '"' and len(text) > 1:
+        try:
+            return json.loads(text)
+        except ValueError as e:
+            raise ValueError(f"{where}: {e}") from e
+    if text[0] == "'" and text[-1] == "'" and len(text) > 1:
+        return text[1:-1].replace("''", "'")
+    if text[0] in "\"'[{&*!|>%@`":
+        raise ValueError(f"{where}: {text!r} is beyond the plain form of rule files")
+    return None if text in ("~", "null") else text
+
+
+_ITEM = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|[^,]+")
 
 
 def load_rules(folder: str | Path) -> Rules:
@@ -110,15 +189,15 @@ def load_rules(folder: str | Path) -> Rules:
             values = read_lines(at / file)
             given[name] = tuple(sorted(values)) if name == "plate_prefixes" else values
     if (at / "legal_forms.yml").exists():
-        forms = [n for e in _yaml(at / "legal_forms.yml").get("legal_forms") or [] for n in e.get("names", [])]
-        given["legal_forms"] = tuple(forms) or ("sp. z o.o.", "s.a.", "spółka akcyjna", "sp. k.")
+        forms = [n for e in read_rule_file(at / "legal_forms.yml").get("legal_forms") or [] for n in e.get("names", [])]
+        given["legal_forms"] = tuple(forms) or FALLBACK_FORMS
     if (at / "allowlist.yml").exists():
-        given["allowlist"] = tuple(v for v in _yaml(at / "allowlist.yml").get("allowlist") or [] if v)
+        given["allowlist"] = tuple(v for v in read_rule_file(at / "allowlist.yml").get("allowlist") or [] if v)
     for name, file in (("policy_rules", "policy_numbers.yml"), ("claim_rules", "claim_numbers.yml")):
         if (at / file).exists():
-            given[name] = tuple(r["regex"] for r in _yaml(at / file).get("rules") or [] if "regex" in r)
+            given[name] = tuple(r["regex"] for r in read_rule_file(at / file).get("rules") or [] if "regex" in r)
     if (at.parent / "entity_types.yaml").exists():
-        given["markers"] = _yaml(at.parent / "entity_types.yaml").get("entity_types") or dict(MARKERS)
+        given["markers"] = read_rule_file(at.parent / "entity_types.yaml").get("entity_types") or dict(MARKERS)
     return Rules(**given)
 
 

@@ -9,16 +9,25 @@ from __future__ import annotations
 
 import copy
 import io
+import os
 import re
+import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from datetime import datetime
+from typing import TypeVar
 from xml.etree import ElementTree as ET
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import output_name
+
+T = TypeVar("T")
+
 # Limits of a package.
 MAX_PACKAGE = 50 * 1024 * 1024
 MAX_ENTRIES = 500
@@ -34,7 +43,9 @@ _WORD_TEXT = frozenset((_W + "t", _W + "delText", _W + "instrText"))
 _WITHOUT_TEXT = frozenset(
     ("word/fontTable.xml", "word/settings.xml", "word/webSettings.xml", "word/styles.xml", "word/stylesWithEffects.xml", "word/theme/theme1.xml", "word/numbering.xml")
 )
+# Names of parts that may hold text that is not looked at.
 _RISK = re.compile(r"word/embeddings/|activeX|oleObject|/digitalSignature|vbaProject", re.IGNORECASE)
+TOO_LARGE = "the file is too large"
 SUPPORTED = (".pdf", ".docx", ".xlsx")
 
 
@@ -54,11 +65,8 @@ class Unit:
 
 def open_package(data: bytes) -> zipfile.ZipFile:
     if len(data) > MAX_PACKAGE:
-        raise PackageError("the file is too large")
-    try:
-        package = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile as e:
-        raise PackageError("the file is no ZIP package") from e
+        raise PackageError(TOO_LARGE)
+    package = _zip(data)
     entries = package.infolist()
     if len(entries) > MAX_ENTRIES:
         raise PackageError("the package has too many entries")
@@ -74,16 +82,45 @@ def open_package(data: bytes) -> zipfile.ZipFile:
     return package
 
 
-def read_part(package: zipfile.ZipFile, name: str) -> ET.Element:
+def _zip(data: bytes) -> zipfile.ZipFile:
+    try:
+        return zipfile.ZipFile(io.BytesIO(data))
+    except Exception as e:  # besides BadZipFile, broken directories end in various errors
+        raise PackageError("the file is no ZIP package") from e
+
+
+def part_bytes(package: zipfile.ZipFile, name: str) -> bytes:
+    """A part's bytes. Whatever keeps it from being read, a wrong checksum or an unknown compression, is a PackageError."""
     try:
-        raw = package.read(name)
+        return package.read(name)
     except KeyError as e:
         raise PackageError(f"there is no part {name!r}") from e
-    if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
-        raise PackageError(f"part {name!r} declares a DTD or entities")
+    except Exception as e:  # zipfile, zlib, bz2 and lzma each have their own
+        raise PackageError(f"part {name!r} cannot be read: {e}") from e
+
+
+def read_part(package: zipfile.ZipFile, name: str) -> ET.Element:
+    raw = part_bytes(package, name)
+    _refuse_declarations(name, raw)
     try:
         return ET.fromstring(raw, ET.XMLParser(target=ET.TreeBuilder(insert_comments=True, insert_pis=True)))
-    except ET.ParseError as e:
+    except (ET.ParseError, ValueError, LookupError) as e:
+        raise PackageError(f"part {name!r} is no XML: {e}") from e
+
+
+def _refuse_declarations(name: str, raw: bytes) -> None:
+    """Read the part as the parser does, in whatever encoding it has, and stop at a DTD or an entity."""
+
+    def refuse(*_: object) -> None:
+        raise PackageError(f"part {name!r} declares a DTD or entities")
+
+    parser = expat.ParserCreate()
+    parser.StartDoctypeDeclHandler = parser.EntityDeclHandler = parser.ExternalEntityRefHandler = refuse
+    if b"<!DOCTYPE" in raw or b"<!ENTITY" in raw:
+        refuse()
+    try:
+        parser.Parse(raw, True)
+    except (expat.ExpatError, ValueError, LookupError) as e:
         raise PackageError(f"part {name!r} is no XML: {e}") from e
 
 
@@ -92,7 +129,7 @@ def rewrite(data: bytes, changed: dict[str, bytes]) -> bytes:
     out = io.BytesIO()
     with open_package(data) as package, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as to:
         for e in package.infolist():
-            to.writestr(e, changed.get(e.filename, package.read(e.filename) if e.filename not in changed else b""))
+            to.writestr(e, changed[e.filename] if e.filename in changed else part_bytes(package, e.filename))
     return out.getvalue()
 
 
@@ -105,7 +142,7 @@ def check_docx(package: zipfile.ZipFile) -> None:
     for needed in ("[Content_Types].xml", "word/document.xml"):
         if needed not in names:
             raise PackageError(f"a document needs {needed}")
-    if b"wordprocessingml" not in package.read("[Content_Types].xml"):
+    if b"wordprocessingml" not in part_bytes(package, "[Content_Types].xml"):
         raise PackageError("the content types name no document")
     if names & {"EncryptionInfo", "EncryptedPackage"}:
         raise PackageError("the document is encrypted")
@@ -128,6 +165,16 @@ def _docx_parts(package: zipfile.ZipFile) -> list[str]:
     return [n for n in package.namelist() if n.endswith(".xml") and n.startswith(("word/", "docProps/")) and n not in _WITHOUT_TEXT]
 
 
+def _story_part(package: zipfile.ZipFile, name: str) -> ET.Element | None:
+    """A part of a document; parts beside the main one that cannot be read are left out (warnings_of names them)."""
+    try:
+        return read_part(package, name)
+    except PackageError:
+        if name == "word/document.xml":
+            raise
+        return None
+
+
 def _texts(node: ET.Element, tags: frozenset[str]) -> list[ET.Element]:
     return [t for t in node.iter() if t.tag in tags and t.text]
 
@@ -138,9 +185,8 @@ def docx_units(data: bytes) -> list[Unit]:
     check_docx(package)
     out = []
     for name in _docx_parts(package):
-        try:
-            root = read_part(package, name)
-        except PackageError:
+        root = _story_part(package, name)
+        if root is None:
             continue
         if name.startswith("docProps/"):
             out += [Unit("metadata", name, "metadata", t) for n in root.iter() if isinstance(n.tag, str) and (t := (n.text or "").strip())]
@@ -183,13 +229,13 @@ def redact_docx(data: bytes, replacements: dict[str, str]) -> bytes:
     package = open_package(data)
     check_docx(package)
     wanted = {r.strip(): m.strip() for r, m in replacements.items() if r and m and r.strip() and m.strip()}
+    read_part(package, "word/document.xml")  # a file that cannot be read does not pass, even if nothing is to go
     if not wanted:
         return data
     changed: dict[str, bytes] = {}
     for name in _docx_parts(package):
-        try:
-            root = read_part(package, name)
-        except PackageError:
+        root = _story_part(package, name)
+        if root is None:
             continue
         touched = False
         if name.startswith("docProps/"):
@@ -329,10 +375,7 @@ def strip_metadata(data: bytes) -> bytes:
     """The package without document properties, their relationships and content types."""
     if not data:
         return data
-    try:
-        package = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile as e:
-        raise PackageError("the file is no ZIP package") from e
+    package = _zip(data)
     names = package.namelist()
     if len(names) != len(set(names)):
         raise PackageError("two entries have one name")
@@ -344,7 +387,7 @@ def strip_metadata(data: bytes) -> bytes:
         for e in package.infolist():
             if _property_path(e.filename):
                 continue
-            raw = package.read(e)
+            raw = part_bytes(package, e.filename)
             if e.filename in attribute:
                 root = read_part(package, e.filename)
                 for child in list(root):
@@ -397,48 +440,126 @@ def redact_package(name: str, data: bytes, replacements: dict[str, str]) -> byte
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Files as (doc_id, path, length, content); other types and too large files keep their row, see document_units."""
+    """Files as (doc_id, path, length, content, error), numbered in the order of their paths from 0.
+
+    Files above MAX_PACKAGE and files of other types keep their row, with an error and no content:
+    their bytes are not loaded, as both tests go to the scan.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.xxhash64("path").alias("doc_id"), "path", "length", "content")
+    suffix = F.lower(F.regexp_extract("path", r"\.[^./]*\z", 0))
+    fits, known = F.col("length") <= MAX_PACKAGE, suffix.isin(*SUPPORTED)
+    none = F.lit(None)
+    loaded = files.filter(fits & known).select("path", "length", "content", none.cast("string").alias("error"))
+    names = files.select("path", "length")  # without content, which is then not read
+    refused = names.filter(~(fits & known)).select("path", "length", none.cast("binary").alias("content"), F.when(~known, "the file type is not supported").otherwise(TOO_LARGE).alias("error"))
+    numbers = _numbered(names.select("path"))
+    return loaded.unionByName(refused).join(numbers, "path").select("doc_id", "path", "length", "content", "error")
+
+
+def _numbered(paths: DataFrame) -> DataFrame:
+    """(path, doc_id): the rank of each path, by ranges of paths and their counts."""
+    from ..operators.findings import ranks
+
+    return ranks(paths, ["path"]).select("path", (F.col("rank") - 1).alias("doc_id"))
 
 
-UNITS = "doc_id bigint, path string, unit_no int, kind string, part string, location string, storage string, shared_index int, text string, error string"
+UNITS = "doc_id bigint, path string, unit_no int, kind string, part string, location string, storage string, shared_index int, text string, error string, warnings array<string>"
+
+
+def _or_error(work: Callable[[], T]) -> tuple[T | None, str | None]:
+    """What the work gives, or why it failed: one file never fails a job."""
+    try:
+        return work(), None
+    except Exception as e:
+        return None, str(e) if isinstance(e, PackageError) else f"{type(e).__name__}: {e}"
+
+
+def _content(data: object) -> bytes:
+    if data is None:
+        raise PackageError("the file has no content")
+    return bytes(data)
+
+
+def warnings_of(name: str, data: bytes) -> list[str]:
+    """Parts of a package that may hold text that is not looked at, or that cannot be read, as sentences."""
+    if not name.lower().endswith((".docx", ".xlsx")):
+        return []
+    package = open_package(data)
+    out = [f"{part} may hold text that is not looked at" for part in embedded_risks(package.namelist())]
+    for part in _docx_parts(package) if name.lower().endswith(".docx") else []:
+        if _story_part(package, part) is None:
+            out.append(f"{part} cannot be read and stays as it is")
+    return out
 
 
 def document_units(files: DataFrame) -> DataFrame:
-    """One row for each unit of each file; a file that cannot be read has one row with an error and no text."""
+    """One row for each unit of each file; a file that cannot be read has one row with an error and no text.
+
+    warnings names the file's parts that may hold text that is not looked at; a file without
+    units, but with warnings, has a row as well. Errors that files bring along stay.
+    """
+    given = F.col("error") if "error" in files.columns else F.lit(None).cast("string").alias("error")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, path, data in zip(batch["doc_id"], batch["path"], batch["content"], strict=True):
-                try:
-                    units = read_units(path, bytes(data))
-                    rows += [(doc_id, path, i, u.kind, u.part, u.location, u.storage, u.shared_index, u.text, None) for i, u in enumerate(units)]
-                except (PackageError, RuntimeError) as e:
-                    rows.append((doc_id, path, None, None, None, None, None, None, None, str(e)))
+            for doc_id, path, data, error in zip(batch["doc_id"], batch["path"], batch["content"], batch["error"], strict=True):
+                units, error = (None, error) if error else _or_error(lambda: (read_units(path, _content(data)), warnings_of(path, _content(data))))  # noqa: B023
+                found, warnings = units or ([], None)
+                rows += [(doc_id, path, i, u.kind, u.part, u.location, u.storage, u.shared_index, u.text, None, warnings) for i, u in enumerate(found)]
+                if error or warnings and not found:
+                    rows.append((doc_id, path, None, None, None, None, None, None, None, error, warnings))
             frame = pd.DataFrame(rows, columns=[c.split()[0] for c in UNITS.split(", ")], dtype=object)
             yield frame.astype({"unit_no": "Int32", "shared_index": "Int32"})
 
-    return files.select("doc_id", "path", "content").mapInPandas(run, UNITS)
+    return files.select("doc_id", "path", "content", given).mapInPandas(run, UNITS)
 
 
 def redact_documents(files: DataFrame, confirmed: DataFrame) -> DataFrame:
     """files (doc_id, path, content) and confirmed (doc_id, raw_value, marker, id) -> (doc_id, path, content, error).
 
-    Metadata is removed as well. A file that cannot be redacted has an error and no content.
+    Metadata is removed as well. A file that cannot be redacted, whatever the reason, has an
+    error and no content.
     """
     pairs = confirmed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("id").cast("long").alias("n"), "raw_value", "marker"))).alias("_pairs"))
+    given = F.col("error") if "error" in files.columns else F.lit(None).cast("string").alias("error")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, path, data, found in zip(batch["doc_id"], batch["path"], batch["content"], batch["_pairs"], strict=True):
-                try:
-                    wanted = {p["raw_value"]: p["marker"] for p in (found if found is not None else [])}
-                    rows.append((doc_id, path, sanitize(path, redact_package(path, bytes(data), wanted)), None))
-                except (PackageError, RuntimeError) as e:
-                    rows.append((doc_id, path, None, str(e)))
+            for doc_id, path, data, error, found in zip(batch["doc_id"], batch["path"], batch["content"], batch["error"], batch["_pairs"], strict=True):
+                wanted = {p["raw_value"]: p["marker"] for p in (found if found is not None else [])}
+                done, error = (None, error) if error else _or_error(lambda: sanitize(path, redact_package(path, _content(data), wanted)))  # noqa: B023
+                rows.append((doc_id, path, done, error))
             yield pd.DataFrame(rows, columns=["doc_id", "path", "content", "error"])
 
-    return files.select("doc_id", "path", "content").join(pairs, "doc_id", "left").mapInPandas(run, "doc_id bigint, path string, content binary, error string")
+    return files.select("doc_id", "path", "content", given).join(pairs, "doc_id", "left").mapInPandas(run, "doc_id bigint, path string, content binary, error string")
+
+
+def write_documents(redacted: DataFrame, folder: str, at: datetime) -> DataFrame:
+    """Write the files of redact_documents under neutral names; return (doc_id, file, error).
+
+    A name tells the time, which is an argument, and the document's number, never the original
+    name. A file appears under its name when it is whole. Rows without content write nothing.
+    """
+    stamp = F.lit(at.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+    suffix = F.regexp_extract("path", r"\.[^./]*\z", 0)
+    name = F.regexp_replace(output_name(suffix, stamp), r"(\.[^.]*)\z", F.concat(F.lit("_"), F.col("doc_id").cast("string"), F.lit("$1")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else os.path.abspath(folder))
+        store.create_dir(top, recursive=True)
+        for batch in batches:
+            rows = []
+            for doc_id, file, data, error in zip(batch["doc_id"], batch["file"], batch["content"], batch["error"], strict=True):
+                if data is not None:
+                    part = f"{top}/.{uuid.uuid4().hex}.part"
+                    with store.open_output_stream(part) as out:
+                        out.write(bytes(data))
+                    store.move(part, f"{top}/{file}")
+                rows.append((doc_id, file if data is not None else None, error))
+            yield pd.DataFrame(rows, columns=["doc_id", "file", "error"])
+
+    return redacted.select("doc_id", name.alias("file"), "content", "error").mapInPandas(run, "doc_id bigint, file string, error string")

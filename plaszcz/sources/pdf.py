@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+
 from .ooxml import PackageError, Unit
 
 
@@ -19,6 +21,11 @@ def page_units(data: bytes) -> list[Unit]:
         return [Unit("page", f"page{i}", str(i), page.get_text()) for i, page in enumerate(doc)]
 
 
+def full_text(data: bytes) -> str:
+    """All pages' text, a line feed between."""
+    return "\n".join(u.text for u in page_units(data))
+
+
 def first_box(data: bytes, page_no: int, value: str) -> tuple[float, float, float, float] | None:
     """The first place of a value on a page."""
     with _library().open(stream=data, filetype="pdf") as doc:
@@ -32,9 +39,33 @@ def signatures(data: bytes) -> list[dict]:
         return [{"page": i, "bbox": list(w.rect), "field_name": w.field_name} for i, page in enumerate(doc) for w in page.widgets() or [] if w.field_type_string == "Signature" and w.is_signed]
 
 
+def remove_signatures(data: bytes) -> bytes:
+    """Without digital signatures; PackageError unless none is left."""
+    try:
+        import pikepdf
+    except ImportError as e:
+        raise PackageError("signed PDF files need pikepdf, which is not installed") from e
+    out = io.BytesIO()
+    try:
+        with pikepdf.open(io.BytesIO(data)) as pdf:
+            if not pdf.acroform.exists:
+                raise PackageError("a signed file has no form")
+            pdf.acroform.disable_digital_signatures()
+            pdf.save(out)
+    except PackageError:
+        raise
+    except Exception as e:
+        raise PackageError(f"signatures cannot be removed: {e}") from e
+    if not out.getvalue() or signatures(out.getvalue()):
+        raise PackageError("signatures are left")
+    return out.getvalue()
+
+
 def redact(data: bytes, replacements: dict[str, str]) -> bytes:
-    """Every occurrence of the values, trimmed, is covered in white under its marker; images stay."""
+    """Every occurrence of the values, trimmed, is covered in white under its marker; images stay, signatures go."""
     fitz = _library()
+    if signatures(data):
+        data = remove_signatures(data)
     with fitz.open(stream=data, filetype="pdf") as doc:
         for page in doc:
             for raw, marker in replacements.items():
