@@ -103,8 +103,10 @@ def build_terc(rows: DataFrame, file_path: str = "") -> Built:
     rejections = each.filter("_state = 'rejected'").select(
         F.lit(file_path).alias("file_path"), F.col("line_no").cast("string").alias("line_no"), F.col("_source").alias("source_value"), F.lit(REASON).alias("reason")
     )
-    counts = each.agg(F.count_if(F.col("_state") == "empty").alias("empty"), F.count_if(F.col("_state") == "rejected").alias("rejected"))
-    return Built(values, rejections, counts)
+    named = each.filter("_state = 'good' AND level IS NOT NULL").groupBy("level", F.lower("_source").alias("value")).agg(F.count("*").alias("_n"))
+    good = named.agg(F.count("*").alias("valid"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
+    other = each.agg(F.count_if(F.col("_state") == "empty").alias("empty"), F.count_if(F.col("_state") == "rejected").alias("rejected"))
+    return Built(values, rejections, good.join(F.broadcast(other)))  # one row on either side
 
 
 def detect_delimiter(first_line: str) -> str | None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import each
@@ -33,40 +33,68 @@ def marker_text(entity_type: Column, suffix: Column, templates: dict[str, str] |
     return unknown if out is None else out.otherwise(unknown)
 
 
-def number_values(findings: DataFrame, scope: Sequence[str] = (), order: Sequence[str] = ("doc_id", "unit_no", "start"), bucket_width: int = 100_000) -> DataFrame:
+#: Rows for each range of ranks() that its bounds are read from.
+_SAMPLED = 20
+
+
+def _literal(value: object) -> Column:
+    return F.struct(*[_literal(v).alias(n) for n, v in value.asDict().items()]) if isinstance(value, Row) else F.lit(value)
+
+
+def ranks(rows: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """rows with rank: the place of each row, from 1, in the given order within the columns `by`.
+
+    Rows are dealt by ranges of (by, order), so that no group needs a task of its own: a row's
+    rank is its place in its range plus what the ranges before hold of its group. The bounds are
+    read from the rows of least hash, so many a range, whatever the values look like.
+    """
+    key = F.struct(*by, *order)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = rows.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(parts * _SAMPLED)
+    bounds = [r.k for r in sample.orderBy("k").collect()][_SAMPLED - 1 :: _SAMPLED]
+    kind = sample.schema["k"].dataType.simpleString()
+    limits = F.array(*map(_literal, bounds)).cast(f"array<{kind}>")
+    dealt = rows.withColumn("_range", F.size(F.filter(limits, lambda b: b < key)) if bounds else F.lit(0))
+    window = Window.partitionBy("_range", *by).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    counts = dealt.groupBy("_range", *by).agg(F.count("*").alias("_n"))
+    # a row a range and group
+    before = F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range")) - F.col("_n")
+    starts = counts.select(F.col("_range").alias("_at"), *[F.col(c).alias(f"_{c}") for c in by], before.alias("_before"))
+    same = F.col("_range") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    joined = dealt.withColumn("_place", F.row_number().over(window)).join(starts, same)
+    return joined.withColumn("rank", F.col("_before") + F.col("_place")).drop("_range", "_at", "_place", "_before", *[f"_{c}" for c in by])
+
+
+def number_values(findings: DataFrame, scope: Sequence[str] = (), order: Sequence[str] = ("doc_id", "unit_no", "start")) -> DataFrame:
     """(scope, entity_type, norm_value, suffix): values numbered by first appearance within scope and type.
 
     Distinct values only are ranked. Without a scope a type's values could fill one task, so
-    they are split by ranges of the first order column (a whole number): ranges are counted,
-    and a value's suffix is the count of the ranges before plus its rank in its own.
+    they are ranked by ranges of their first places, whatever these look like.
     """
     place = F.struct(*[F.col(c) for c in order])
     first = findings.groupBy(*scope, "entity_type", "norm_value").agg(F.min(place).alias("_first"))
-    by_place = ["_first", "norm_value"]
     if scope:
-        ranked = first.withColumn("suffix", F.row_number().over(Window.partitionBy(*scope, "entity_type").orderBy(*by_place)))
+        ranked = first.withColumn("suffix", F.row_number().over(Window.partitionBy(*scope, "entity_type").orderBy("_first", "norm_value")))
         return ranked.select(*scope, "entity_type", "norm_value", "suffix")
-    first = first.withColumn("_range", F.floor(F.col(f"_first.{order[0]}") / bucket_width))
-    counts = first.groupBy("entity_type", "_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("entity_type").orderBy(F.col("_range").asc_nulls_first())) - F.col("_n")
-    starts = counts.select(F.col("entity_type").alias("_type"), F.col("_range").alias("_at"), before.alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("entity_type", "_range").orderBy(*by_place))
-    joined = first.withColumn("_rank", rank).join(starts, (F.col("entity_type") == F.col("_type")) & F.col("_range").eqNullSafe(F.col("_at")))
-    return joined.select("entity_type", "norm_value", (F.col("_before") + F.col("_rank")).cast("int").alias("suffix"))
+    ranked = ranks(first, ["_first", "norm_value"], ["entity_type"])
+    return ranked.select("entity_type", "norm_value", F.col("rank").cast("int").alias("suffix"))
 
 
-def assign_markers(findings: DataFrame, scope: Sequence[str] = (), order: Sequence[str] = ("doc_id", "unit_no", "start"), templates: dict[str, str] | None = None, registry: DataFrame | None = None) -> DataFrame:
-    """findings with marker. registry (entity_type, norm_value, suffix) of an earlier run is continued."""
+def assign_markers(findings: DataFrame, scope: Sequence[str] = (), order: Sequence[str] = ("doc_id", "unit_no", "start"), templates: dict[str, str] | None = None, registry: DataFrame | None = None, keep_suffix: bool = False) -> DataFrame:
+    """findings with marker, and suffix if wanted. registry (scope, entity_type, norm_value, suffix) of an earlier run is continued."""
+    keys = [*scope, "entity_type", "norm_value"]
     if registry is None:
         numbers = number_values(findings, scope, order)
     else:
-        fresh = findings.join(registry, ["entity_type", "norm_value"], "left_anti")
-        last = registry.groupBy("entity_type").agg(F.max("suffix").alias("_last"))
-        more = number_values(fresh, (), order).join(last, "entity_type", "left")
-        more = more.select("entity_type", "norm_value", (F.col("suffix") + F.coalesce("_last", F.lit(0))).cast("int").alias("suffix"))
-        numbers = registry.select("entity_type", "norm_value", "suffix").unionByName(more)
-    keys = [*scope, "entity_type", "norm_value"]
-    return findings.join(numbers, keys).withColumn("marker", marker_text(F.col("entity_type"), F.col("suffix"), templates)).drop("suffix")
+        known = registry.select(*keys, "suffix")
+        last = known.groupBy(*scope, "entity_type").agg(F.max("suffix").alias("_last"))
+        more = number_values(findings.join(known, keys, "left_anti"), scope, order).join(last, [*scope, "entity_type"], "left")
+        more = more.select(*keys, (F.col("suffix") + F.coalesce("_last", F.lit(0))).cast("int").alias("suffix"))
+        numbers = known.unionByName(more)
+    marked = findings.join(numbers, keys).withColumn("marker", marker_text(F.col("entity_type"), F.col("suffix"), templates))
+    return marked if keep_suffix else marked.drop("suffix")
 
 
 def group_findings(findings: DataFrame, doc: str = "doc_id", order: Sequence[str] = ("unit_no", "start"), location: Sequence[str] = ("unit_no", "start", "end")) -> DataFrame:

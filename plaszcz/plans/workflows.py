@@ -72,6 +72,12 @@ def marker_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fnd.assign_markers(_findings(spark, sf_dir)).select("doc_id", F.col("start").cast("long").alias("k"), "entity_type", "marker")
 
 
+def marker_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with numbers far apart, as hashes are, and one value each."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 1_000_003 % 998_244_353).alias("doc_id"), F.lit(0).alias("unit_no"), F.lit(0).alias("start"), F.lit("PL_NIP").alias("entity_type"), F.col("o_orderkey").cast("string").alias("norm_value"))
+    return fnd.assign_markers(o).select("doc_id", "norm_value", "marker")
+
+
 def marker_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fnd.assign_markers(_findings(spark, sf_dir), scope=["doc_id"]).select("doc_id", F.col("start").cast("long").alias("k"), "entity_type", "marker")
 
@@ -165,15 +171,29 @@ v AS (SELECT min(line_no) AS line_no, value, arg_min(n, line_no) AS n, count(*)
 """
 
 
-def dict_terc(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _terc_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as rows of the register: the key's remainders fill the codes."""
     k = F.col("s_suppkey")
     filled = lambda test, v: F.when(test, v).otherwise("")
-    rows = table(spark, sf_dir, "supplier").select(
+    return table(spark, sf_dir, "supplier").select(
         k.cast("int").alias("line_no"), F.lit("02").alias("woj"), filled(k % 4 > 0, "01").alias("pow"), filled(k % 4 > 1, "03").alias("gmi"), filled(k % 4 > 1, (k % 5 + 1).cast("string")).alias("rodz"),
         F.concat(F.lit(" Nazwa  "), (k % 60).cast("string"), F.when(k % 17 == 0, "?").otherwise("")).alias("nazwa"),
     )
-    return dic.build_terc(rows).values
+
+
+def dict_terc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dic.build_terc(_terc_rows(spark, sf_dir)).values
+
+
+def dict_terc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dic.build_terc(_terc_rows(spark, sf_dir)).counts.select("valid", "duplicates", "empty", "rejected")
+
+
+_TERC_COUNTS_SQL = """
+WITH r AS (SELECT CASE k % 4 WHEN 0 THEN 'v' WHEN 1 THEN 'c' ELSE 'g' END AS level, k % 60 AS v FROM (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 17 <> 0) WHERE k % 4 < 2 OR k % 5 < 3)
+SELECT (SELECT count(*) FROM (SELECT DISTINCT level, v FROM r)) AS valid, (SELECT count(*) FROM r) - (SELECT count(*) FROM (SELECT DISTINCT level, v FROM r)) AS duplicates,
+       CAST(0 AS BIGINT) AS empty, (SELECT count(*) FROM supplier WHERE s_suppkey % 17 = 0) AS rejected
+"""
 
 
 _TERC_SQL = """
@@ -237,6 +257,7 @@ QUERIES = {
     "allowlist_filter": allowlist_filter,
     "overlap_resolve": overlap_resolve,
     "marker_assign": marker_assign,
+    "marker_hashed": marker_hashed,
     "marker_by_document": marker_by_document,
     "finding_group": finding_group,
     "finding_ids": finding_ids,
@@ -249,6 +270,7 @@ QUERIES = {
     "dict_rejections": dict_rejections,
     "dict_counts": dict_counts,
     "dict_terc": dict_terc,
+    "dict_terc_counts": dict_terc_counts,
     "dict_ulic": dict_ulic,
     "dict_simc": dict_simc,
     "text_functions": text_functions,
@@ -260,6 +282,8 @@ ORACLES = {
     "allowlist_filter": "SELECT c_custkey AS k, CAST(CASE WHEN c_mktsegment = 'MACHINERY' THEN 0 ELSE 1 END AS INTEGER) AS n FROM customer",
     "overlap_resolve": _OVERLAP_SQL,
     "marker_assign": f"WITH {_FINDINGS_SQL} SELECT doc_id, k, entity_type, marker FROM m",
+    "marker_hashed": """WITH o AS (SELECT o_orderkey * 1000003 % 998244353 AS doc_id, CAST(o_orderkey AS VARCHAR) AS norm_value FROM orders)
+        SELECT doc_id, norm_value, concat('[NIP_', row_number() OVER (ORDER BY doc_id, norm_value), ']') AS marker FROM o""",
     "marker_by_document": f"""WITH {_FINDINGS_SQL}, e AS (SELECT doc_id, entity_type, norm_value, min(k) AS first FROM f GROUP BY doc_id, entity_type, norm_value),
         d AS (SELECT doc_id, entity_type, norm_value, row_number() OVER (PARTITION BY doc_id, entity_type ORDER BY first) AS s FROM e)
         SELECT doc_id, k, entity_type, concat('[', CASE entity_type WHEN 'PL_NIP' THEN 'NIP' WHEN 'PERSON' THEN 'OSOBA' WHEN 'EMAIL_ADDRESS' THEN 'EMAIL' ELSE 'CUSTOM' END, '_', s, ']') AS marker
@@ -275,6 +299,7 @@ ORACLES = {
     "dict_rejections": f"WITH {_NAMES_SQL} SELECT 'names.csv' AS file_path, CAST(line_no AS VARCHAR) AS line_no, value AS source_value, '{dic.REASON}' AS reason FROM r WHERE damaged",
     "dict_counts": f"WITH {_NAMES_SQL} SELECT (SELECT count(*) FROM v) AS valid, CAST((SELECT sum(c - 1) FROM v) AS BIGINT) AS duplicates, count(*) FILTER (blank) AS empty, count(*) FILTER (damaged) AS rejected FROM r",
     "dict_terc": _TERC_SQL,
+    "dict_terc_counts": _TERC_COUNTS_SQL,
     "dict_ulic": "WITH r AS (SELECT p_partkey, lower(CASE WHEN p_size % 3 = 0 THEN p_brand ELSE concat(p_type, ' ', p_brand) END) AS value FROM part) SELECT CAST(min(p_partkey) AS INTEGER) AS line_no, value FROM r GROUP BY value",
     "dict_simc": "SELECT CAST(min(p_partkey) AS INTEGER) AS line_no, lower(concat(p_type, ' ', p_size)) AS value FROM part GROUP BY p_type, p_size",
     "text_functions": _TEXT_SQL,

@@ -6,6 +6,7 @@ import io
 import subprocess
 import sys
 import zipfile
+from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -100,6 +101,57 @@ def test_unsafe_and_foreign_parts_are_refused():
             ooxml.docx_units(package(parts))
 
 
+def test_declarations_in_any_encoding_and_broken_parts_are_refused():
+    evil = '<?xml version="1.0" encoding="UTF-16"?><!DOCTYPE x [<!ENTITY e "EXPANDED">]><x>&e;</x>'
+    z = ooxml.open_package(package({"a.xml": evil.encode("utf-16"), "b.xml": '<?xml version="1.0" encoding="x-none"?><x/>', "c.xml": '<?xml version="1.0" encoding="UTF-16"?><x>ł</x>'.encode("utf-16")}))
+    for name in ("a.xml", "b.xml"):
+        with pytest.raises(ooxml.PackageError):
+            ooxml.read_part(z, name)
+    assert ooxml.read_part(z, "c.xml").text == "ł"
+    raw = package({"a.xml": "<x>some text</x>"})
+    at = raw.index(b"a.xml") + len(b"a.xml") + 3
+    with pytest.raises(ooxml.PackageError):
+        ooxml.read_part(ooxml.open_package(raw[:at] + bytes([raw[at] ^ 0xFF]) + raw[at + 1 :]), "a.xml")
+
+
+def test_one_broken_file_fails_no_job(spark, tmp_path, monkeypatch):
+    good = docx(run("NIP 123-456-32-18"), word__embeddings__x="<a/>")
+    (tmp_path / "a.docx").write_bytes(good)
+    at = good.index(b"word/document.xml") + 20
+    (tmp_path / "b.docx").write_bytes(good[:at] + b"\xff\xff\xff" + good[at + 3 :])
+    (tmp_path / "c.docx").write_bytes(good + b"0" * 5000)
+    (tmp_path / "d.xls").write_bytes(b"x")
+    monkeypatch.setattr(ooxml, "MAX_PACKAGE", len(good) + 100)
+    files = ooxml.read_documents(spark, str(tmp_path))
+    rows = {Path(r.path).name: r for r in files.collect()}
+    assert [rows[n].doc_id for n in sorted(rows)] == [0, 1, 2, 3]
+    assert rows["c.docx"].error == ooxml.TOO_LARGE and rows["c.docx"].content is None and rows["d.xls"].content is None
+    units = {Path(r.path).name: r for r in ooxml.document_units(files.unionByName(files.limit(1).selectExpr("9L AS doc_id", "'x/e.docx' AS path", "0L AS length", "CAST(NULL AS BINARY) AS content", "CAST(NULL AS STRING) AS error"))).collect()}
+    assert all(units[n].error and units[n].text is None for n in ("b.docx", "c.docx", "d.xls", "e.docx")) and not units["a.docx"].error
+    assert units["a.docx"].warnings and "word/embeddings/x" in units["a.docx"].warnings[0]
+    grouped = spark.createDataFrame([(0, "123-456-32-18", "[NIP_1]", "1")], "doc_id long, raw_value string, marker string, id string")
+    done = ooxml.redact_documents(files, grouped)
+    out = {r.doc_id: r for r in ooxml.write_documents(done, str(tmp_path / "out"), datetime(2024, 3, 5, 7, 8)).collect()}
+    assert out[0].file == "anonimizacja_05-03_07-08_0.docx" and [p.name for p in (tmp_path / "out").iterdir()] == [out[0].file] and all(out[k].file is None and out[k].error for k in (1, 2, 3))
+    assert ooxml.docx_units((tmp_path / "out" / out[0].file).read_bytes())[0].text == "NIP [NIP_1]"
+
+
+def test_rule_files(tmp_path):
+    folder = tmp_path / "config" / "recognizers"
+    folder.mkdir(parents=True)
+    write(folder / "legal_forms.yml", 'legal_forms:\n  - names: ["sp. j.", \'it\'\'s\', SA]  # x\n  - names:\n    - "a # b"\n')
+    write(folder / "allowlist.yml", 'allowlist:\n- "Jan Kowalski" # note\n- Anna\n')
+    write(folder / "policy_numbers.yml", '# rules\nrules:\n  - name: "one"\n    regex: "(?i)\\\\bnr\\\\s*([0-9]{3,5})\\\\b"\n  -\n    regex: x\n')
+    write(tmp_path / "config" / "entity_types.yaml", 'entity_types:\n  PERSON: "[OSOBA_{}]"\n')
+    rules = config.load_rules(folder)
+    assert rules.legal_forms == ("sp. j.", "it's", "SA", "a # b") and rules.allowlist == ("Jan Kowalski", "Anna")
+    assert rules.policy_rules == (r"(?i)\bnr\s*([0-9]{3,5})\b", "x") and rules.markers == {"PERSON": "[OSOBA_{}]"}
+    for bad in ("a: &x 1\n", "a: {b: 1}\n", "a:\n\t- b\n", "a: |\n  b\n", "- a\n", 'a: "b\n'):
+        write(folder / "allowlist.yml", bad)
+        with pytest.raises(ValueError):
+            config.load_rules(folder)
+
+
 def test_metadata_goes():
     data = docx(run("x"), docProps__core="<a/>", docProps__app="<a/>")
     out = ooxml.sanitize("a.DOCX", data)
@@ -168,14 +220,34 @@ def test_reading_faults(tmp_path, spark):
     assert [dic.detect_delimiter(s) for s in ("a;b,c", "a\tb,c", "a,b", "a")] == [";", "\t", ",", None]
 
 
-def test_markers_continue_a_registry(spark):
+def test_markers_continue_a_registry(spark, monkeypatch):
     f = spark.createDataFrame([(1, 0, 0, "PERSON", "x"), (1, 0, 5, "PERSON", "y"), (2, 0, 0, "PERSON", "z")], "doc_id long, unit_no int, start int, entity_type string, norm_value string")
     old = spark.createDataFrame([("PERSON", "y", 4)], "entity_type string, norm_value string, suffix int")
     assert {r.norm_value: r.marker for r in fnd.assign_markers(f, registry=old).collect()} == {"y": "[OSOBA_4]", "x": "[OSOBA_5]", "z": "[OSOBA_6]"}
-    narrow = fnd.number_values(f, bucket_width=1).collect()
+    monkeypatch.setattr(fnd, "_SAMPLED", 1)
+    narrow = fnd.number_values(f).collect()
     assert {r.norm_value: r.suffix for r in narrow} == {"x": 1, "y": 2, "z": 3}
 
 
+def test_ranks_by_ranges_equal_ranks(spark, monkeypatch):
+    rows = [(k % 3, (k * 7919) % 1009, str(k % 50)) for k in range(1009)] + [(None, None, "x"), (0, None, None)]
+    df = spark.createDataFrame(rows, "kind int, at int, name string").repartition(3)
+    want: dict = {}
+    null_first = lambda v: (v is not None, v)
+    for kind in (0, 1, 2, None):
+        mine = sorted((r for r in rows if r[0] == kind), key=lambda r: (null_first(r[1]), null_first(r[2])))
+        want |= {r: n for n, r in enumerate(mine, 1)}
+    for sampled in (20, 2):
+        monkeypatch.setattr(fnd, "_SAMPLED", sampled)
+        assert {(r.kind, r["at"], r.name): r["rank"] for r in fnd.ranks(df, ["at", "name"], ["kind"]).collect()} == want
+
+
+def test_a_scoped_registry_is_continued(spark):
+    f = spark.createDataFrame([(1, 0, 0, "PERSON", "x"), (1, 0, 5, "PERSON", "y"), (2, 0, 0, "PERSON", "y")], "doc_id long, unit_no int, start int, entity_type string, norm_value string")
+    old = spark.createDataFrame([(1, "PERSON", "y", 4)], "doc_id long, entity_type string, norm_value string, suffix int")
+    assert {(r.doc_id, r.norm_value): r.marker for r in fnd.assign_markers(f, scope=["doc_id"], registry=old).collect()} == {(1, "y"): "[OSOBA_4]", (1, "x"): "[OSOBA_5]", (2, "y"): "[OSOBA_1]"}
+
+
 def test_redaction_chains_by_value_and_leaks_are_found(spark):
     units = spark.createDataFrame([(1, "Jan NIP"), (2, "none")], "doc_id long, text string")
     conf = spark.createDataFrame([(1, "1", "Jan", "[NIP_1]"), (1, "10", "NIP", "<2>"), (1, "2", "", "[E]")], "doc_id long, id string, raw_value string, marker string")
