@@ -213,6 +213,38 @@ def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "entity_type", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "score")
 
 
+def _marked(pattern: str, before: str, after: str = "") -> str:
+    """SQL of a text with marks around the matches; RE2 cannot look around, so a match's neighbours are put back.
+
+    The second pass finds matches whose neighbour the first one took for the match before.
+    """
+    once = lambda text: f"regexp_replace({text}, '({before}|^)({pattern})({after or ''})', concat('\\1', chr(57344), '\\2', chr(57344), '\\3'), 'g')"
+    return once(once("text")) if after else once("text")
+
+
+def _near_sql(words: tuple[str, ...], window: int) -> str:
+    part = f"lower(substr(text, greatest(a - {window}, 0) + 1, a + {window} - greatest(a - {window}, 0)))"
+    return "(" + " OR ".join(f"contains({part}, '{w}')" for w in words) + ")"
+
+
+# Of all types, the test tables' raw texts hold e-mail addresses and ten digits; others would be missing here.
+_DETECT_SQL = rf"""
+WITH m AS (
+  SELECT doc_id, text, 'EMAIL_ADDRESS' AS kind, {_marked("[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,63}", "[^\\pL\\pN_.+\\-]")} AS marked FROM documents WHERE contains(text, '@')
+  UNION ALL SELECT doc_id, text, 'PL_NIP', {_marked("[0-9](?:[\\s\\-]?[0-9]){9}", "[^\\p{Nd}\\x{E000}]", "$|[^\\p{Nd}]")} FROM documents
+  UNION ALL SELECT doc_id, text, 'PL_KRS', {_marked("[0-9](?:[ \\t\\-]?[0-9]){9}", "[^\\p{Nd}\\x{E000}]", "$|[^\\p{Nd}]")} FROM documents),
+p AS (SELECT doc_id, text, kind, string_split(marked, chr(57344)) AS parts FROM m WHERE contains(marked, chr(57344))),
+i AS (SELECT doc_id, text, kind, parts, unnest(range(2, len(parts), 2)) AS n FROM p),
+s AS (SELECT doc_id, text, kind, parts[n] AS raw, regexp_replace(parts[n], '[\s\-]', '', 'g') AS v, CAST(coalesce(list_sum(list_transform(parts[1:n - 1], lambda x: length(x))), 0) AS INTEGER) AS a FROM i),
+r AS (SELECT doc_id, kind AS entity_type, a AS span_start, a + CAST(length(raw) AS INTEGER) AS span_end, CAST(CASE kind
+    WHEN 'EMAIL_ADDRESS' THEN 0.98
+    WHEN 'PL_NIP' THEN CASE WHEN {nip_sql("v")} THEN CASE WHEN {_near_sql(("nip", "n.i.p.", "numer identyfikacji podatkowej"), 200)} THEN 0.99 ELSE 0.8 END END
+    ELSE CASE WHEN {nip_sql("v")} THEN NULL WHEN {_near_sql(("krs", "rejestr sądowy"), 300)} THEN 0.98 WHEN v[1] = '0' THEN 0.8 END END AS DOUBLE) AS score
+  FROM (SELECT * EXCLUDE v, CASE WHEN kind = 'EMAIL_ADDRESS' THEN '0000000000' ELSE v END AS v FROM s))
+SELECT * FROM r WHERE score IS NOT NULL AND NOT (entity_type = 'EMAIL_ADDRESS' AND EXISTS (
+  SELECT 1 FROM r AS o WHERE o.doc_id = r.doc_id AND o.entity_type <> 'EMAIL_ADDRESS' AND o.score IS NOT NULL AND o.span_start < r.span_end AND r.span_start < o.span_end))
+"""
+
 _TAIL = digits(31, 5)
 _TEL = digits(15485863, 9, 500000000)
 _TEL_SQL = digits_sql(15485863, 9, 500000000)
@@ -279,4 +311,5 @@ ORACLES = {
     "rec_teryt": _TERYT_SQL,
     "rec_person": _PERSON_SQL,
     "rec_email": _EMAIL_SQL,
+    "detect_documents": _DETECT_SQL,
 }
