@@ -543,3 +543,43 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert shared not in out[1003].text and out[1003].text.startswith(clean[1][:300])
     assert all(np.frombuffer(bytes(r.token_ids), "<u4").size == r.n_tokens for r in out.values())
     assert hashlib.sha256(out[1000].text.encode()).digest() == hashlib.sha256(clean[0].encode()).digest()
+
+
+def tables_of(spark, folder, docs, labels, items):
+    extra = "doc_id bigint, text string, lang string, source string, n_chars bigint, token_ids string, _node string, shard string"
+    spark.createDataFrame([(d, t, "en", "s", len(t or ""), "clash", "clash", "clash") for d, t in docs], extra).write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(folder / "benchmark.parquet"))
+
+
+def test_pipeline_over_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    tables_of(spark, tmp_path / "none", [], [], [])
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    rng = np.random.default_rng(91)
+    long = prose(60_000, rng)
+    docs = [(1, None), (1, ""), (None, prose(50, rng)), (2, prose(60, rng)), (2, prose(60, rng)), (3, long), (4, prose(40, rng) + " " + long[:300] + " " + prose(40, rng))]
+    docs += [docs[3]] * 3
+    tables_of(spark, tmp_path / "odd", docs, [(None, 1, 1), (2, None, None), (9, 1, 1)], [(None, None), (1, ""), (2, "   ")])
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert sorted((r.doc_id or 0) for r in out) == [0, 1, 2, 2, 3, 4]  # one blank text, one of the equal rows
+    by = {r.doc_id: r for r in out}
+    assert by[1].n_tokens == 0 and by[1].text == "" and by[3].text == long[300:] and long[:300] not in by[4].text
+    assert set(out[0].asDict()) == {"doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", "text"}
+
+
+@pytest.mark.parametrize("operator", ["sharding", "suffix", "nearcopies", "simhash", "toxicity", "decontam", "wrappers"])
+def test_columns_of_the_operators_own_names(spark, operator):
+    from plaszcz.llm import sharding
+
+    rows = [(i, prose(40), *["mine"] * 12) for i in range(6)]
+    names = ("_d", "_r", "_key", "_row", "_bucket", "_text", "_node", "_order", "_host", "_fp", "_rank", "_at")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    run = {
+        "sharding": lambda: sharding.assign_shards(df, "doc_id", 3), "suffix": lambda: suffix.remove_repeats(df), "nearcopies": lambda: nearcopies.drop_near_copies(df), "simhash": lambda: simhash.near_classes(df),
+        "toxicity": lambda: toxicity.score_documents(df, toxicity.Model((), (), -1.0, 1.0, 1.0, -50.0)), "decontam": lambda: decontam.find_leaks(df, df.selectExpr("doc_id AS item_id", "text").limit(0)),
+        "wrappers": lambda: wrappers.extract_main_text(df, url="_host", html="text"),
+    }[operator]
+    out = run().collect()
+    assert len(out) == 6 and all(r[n] == "mine" for r in out for n in names)
