@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
-documents.
+documents. Empty tables give empty tables, repeated rows and ids count as rows of their own
+where a stage does not say otherwise, and columns that documents has besides are left out.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go. Null and empty texts hold no evidence and stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, model).filter("NOT toxic").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies stays."""
+    """One document of each group of copies and near copies stays. Null, empty and blank texts are copies of each other."""
     return nearcopies.drop_near_copies(docs).select(*COLUMNS)
 
 
@@ -39,12 +40,12 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark, question and answer, go."""
+    """Documents that hold an item of the benchmark, question and answer, go. Null and empty texts hold none and stay."""
     return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).filter("size(leaks) = 0").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text's token ids, and the text decoded from them."""
+    """Every text's token ids, and the text decoded from them; a null or empty text has no ids and decodes to an empty one."""
     return bpe.encode(docs, decoded=True).select("doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids", F.col("decoded_text").alias("text"))
 
 
