@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import identifiers, workflows
+from . import forms, identifiers, workflows
 
-QUERIES: dict = {**identifiers.QUERIES, **workflows.QUERIES}
-ORACLES: dict[str, str] = {**identifiers.ORACLES, **workflows.ORACLES}
+QUERIES: dict = {**identifiers.QUERIES, **forms.QUERIES, **workflows.QUERIES}
+ORACLES: dict[str, str] = {**identifiers.ORACLES, **forms.ORACLES, **workflows.ORACLES}
