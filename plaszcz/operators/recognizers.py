@@ -19,6 +19,19 @@ from ..functions.text import near
 from ..sources.config import Rules
 
 _PL = "A-Za-zĄĆĘŁŃÓŚŹŻąćęłńóśźż"
+# Words near a number that say what it is.
+CONTEXT = {
+    "nip": ("nip", "n.i.p.", "numer identyfikacji podatkowej"),
+    "regon": ("regon", "r.e.g.o.n.", "rejestr podmiotów"),
+    "krs": ("krs", "krajowy rejestr sądowy", "rejestr sądowy", "nr krs", "numer krs"),
+    "pesel": ("pesel", "nr pesel", "numer pesel"),
+    "phone": ("tel", "telefon", "kom.", "komórka", "kontakt", "fax", "mobile", "tel."),
+    "passport": ("paszport", "paszportu", "nr paszportu", "seria i numer"),
+    "plate": ("nr rejestracyjny", "nr rej.", "rejestracja", "pojazd", "samochód", "tablica"),
+    "bank": ("rachunek", "konto", "iban", "nrb", "przelew", "nr konta", "wypłaty"),
+}
+
+# The patterns of numbers below are fixed as well: they say how each number is written.
 
 
 def _digits(raw: Column, separators: str) -> Column:
@@ -28,37 +41,32 @@ def _digits(raw: Column, separators: str) -> Column:
 def nip(text: Column) -> Column:
     # only ASCII digits validate, so a text without ten of them close together has no NIP
     found = hits(text, r"(?U)(?<!\d)\d(?:[\s-]?\d){9}(?!\d)", guard=r"[0-9](?:[^0-9A-Za-z]?[0-9]){9}")
-    context = ("nip", "n.i.p.", "numer identyfikacji podatkowej")
-    return spans(found, "PL_NIP", "nip", lambda h: F.when(chk.nip_valid(_digits(h["raw"], r"(?U)[\s-]")), F.when(near(text, h["start"], context, 200), 0.99).otherwise(0.80)))
+    return spans(found, "PL_NIP", "nip", lambda h: F.when(chk.nip_valid(_digits(h["raw"], r"(?U)[\s-]")), F.when(near(text, h["start"], CONTEXT["nip"], 200), 0.99).otherwise(0.80)))
 
 
 def regon(text: Column) -> Column:
     found = hits(text, r"(?U)\b(?:\d{9}|\d{14})\b", guard=r"[0-9]{9}")
-    context = ("regon", "r.e.g.o.n.", "rejestr podmiotów")
-    return spans(found, "PL_REGON", "regon", lambda h: F.when(chk.regon_valid(h["raw"]), F.when(near(text, h["start"], context, 250), 0.99)))
+    return spans(found, "PL_REGON", "regon", lambda h: F.when(chk.regon_valid(h["raw"]), F.when(near(text, h["start"], CONTEXT["regon"], 250), 0.99)))
 
 
 def krs(text: Column) -> Column:
     found = hits(text, r"(?U)(?<!\d)\d(?:[ \t-]?\d){9}(?!\d)", guard=r"\p{Nd}(?:[ \t-]?\p{Nd}){9}")
-    context = ("krs", "krajowy rejestr sądowy", "rejestr sądowy", "nr krs", "numer krs")
 
     def score(h: Column) -> Column:
         digits = _digits(h["raw"], r"[ \t-]")
-        return F.when(~chk.nip_valid(digits), F.when(near(text, h["start"], context, 300), 0.98).when(digits.startswith("0"), 0.80))
+        return F.when(~chk.nip_valid(digits), F.when(near(text, h["start"], CONTEXT["krs"], 300), 0.98).when(digits.startswith("0"), 0.80))
 
     return spans(found, "PL_KRS", "krs", score)
 
 
 def pesel(text: Column) -> Column:
     found = hits(text, r"(?U)\b\d{11}\b", guard=r"[0-9]{11}")
-    context = ("pesel", "nr pesel", "numer pesel")
-    return spans(found, "PL_PESEL", "pesel", lambda h: F.when(chk.pesel_valid(h["raw"]), F.when(near(text, h["start"], context, 150), 0.99).otherwise(0.60)))
+    return spans(found, "PL_PESEL", "pesel", lambda h: F.when(chk.pesel_valid(h["raw"]), F.when(near(text, h["start"], CONTEXT["pesel"], 150), 0.99).otherwise(0.60)))
 
 
 _ACCOUNT = r"\d{2}\s?(?:\d{4}\s?){6}"
 # only ASCII digits validate
 _FOUR_DIGITS = r"[0-9]{4}[^0-9]?[0-9]{4}[^0-9]?[0-9]{4}"
-_ACCOUNT_CONTEXT = ("rachunek", "konto", "iban", "nrb", "przelew", "nr konta", "wypłaty")
 
 
 def bank_account(text: Column) -> Column:
@@ -67,7 +75,7 @@ def bank_account(text: Column) -> Column:
 
     def score(h: Column) -> Column:
         bare = _digits(h["raw"], r"(?U)\s")
-        return F.when((F.length(bare) == 26) & chk.iban_valid(bare), F.when(near(text, h["start"], _ACCOUNT_CONTEXT, 155), 0.99).otherwise(0.60))
+        return F.when((F.length(bare) == 26) & chk.iban_valid(bare), F.when(near(text, h["start"], CONTEXT["bank"], 155), 0.99).otherwise(0.60))
 
     return F.concat(coded, spans(hits(text, rf"(?U)\b{_ACCOUNT}\b", guard=_FOUR_DIGITS), "BANK_ACCOUNT", "nrb", score))
 
@@ -76,9 +84,8 @@ def phone(text: Column) -> Column:
     """International numbers of +48, and local ones near a word for telephone."""
     abroad = spans(hits(text, r"(?U)\+48[\s.-]?(?:\d[\s().-]?){9}", guard=r"\+48"), "PHONE_NUMBER", "phone", lambda h: F.lit(0.95))
     found = hits(text, r"(?U)(?<!\d)(?:\d{3}[\s.-]?\d{3}[\s.-]?\d{3}|\d{2}[\s.-]?\d{3}[\s.-]?\d{2}[\s.-]?\d{2})(?!\d)", guard=r"\p{Nd}{2}[^\p{Nd}]?\p{Nd}{3}|\p{Nd}{3}[^\p{Nd}]\p{Nd}{3}")
-    context = ("tel", "telefon", "kom.", "komórka", "kontakt", "fax", "mobile", "tel.")
     # nine digits can be a REGON but neither a NIP nor a PESEL
-    local = spans(found, "PHONE_NUMBER", "phone", lambda h: F.when(~chk.regon_valid(_digits(h["raw"], r"(?U)[\s.-]")) & near(text, h["start"], context, 120), 0.85))
+    local = spans(found, "PHONE_NUMBER", "phone", lambda h: F.when(~chk.regon_valid(_digits(h["raw"], r"(?U)[\s.-]")) & near(text, h["start"], CONTEXT["phone"], 120), 0.85))
     return F.concat(abroad, local)
 
 
@@ -89,8 +96,7 @@ def id_card(text: Column) -> Column:
 
 def passport(text: Column) -> Column:
     found = hits(text, r"(?U)(?<![A-Z0-9])[A-Z]{2}\s*\d{7}(?![A-Z0-9])", guard=r"\p{Nd}{7}")
-    context = ("paszport", "paszportu", "nr paszportu", "seria i numer")
-    return spans(found, "PL_PASSPORT", "identity", lambda h: F.when(near(text, h["start"], context, 150), 0.90).otherwise(0.60))
+    return spans(found, "PL_PASSPORT", "identity", lambda h: F.when(near(text, h["start"], CONTEXT["passport"], 150), 0.90).otherwise(0.60))
 
 
 def plate(text: Column, prefixes: Sequence[str]) -> Column:
@@ -107,11 +113,10 @@ def plate(text: Column, prefixes: Sequence[str]) -> Column:
         return F.array().cast(SPANS)
     edge = "A-ZĄĆĘŁŃÓŚŹŻ0-9"
     found = hits(text, rf"(?iu)(?<![{edge}])(?:{'|'.join(forms)})(?![{edge}])", guard="[A-Za-zſ\u212a]{2}[ \t-]?[A-Za-zſ\u212a]{0,4}[0-9]")
-    context = ("nr rejestracyjny", "nr rej.", "rejestracja", "pojazd", "samochód", "tablica")
 
     def score(h: Column) -> Column:
         letters = F.regexp_extract(h["raw"], r"(?iu)\A[A-Z]{2,3}", 0)
-        return F.when(near(text, h["start"], context, 150), 0.90).when(letters == F.upper(letters), 0.60)
+        return F.when(near(text, h["start"], CONTEXT["plate"], 150), 0.90).when(letters == F.upper(letters), 0.60)
 
     return spans(found, "LICENSE_PLATE", "plate", score)
 
@@ -127,15 +132,29 @@ def custom(text: Column, entity_type: str, patterns: Sequence[str], score: float
     return F.concat(*parts) if parts else F.array().cast(SPANS)
 
 
+# What a line of an organization's name consists of besides letters and digits, and how long it is at most.
+_NAME_MARKS, _NAME_LENGTH = "_-+&'\"„”().,/ \t", 120
+
+
+def _any_of(characters: str) -> str:
+    return "[" + "".join("\\" + c if c in "\\]-^[&" else c for c in characters) + "]"
+
+
 def organization(text: Column, legal_forms: Sequence[str]) -> Column:
-    """A name of one or two lines before a legal form; the longest form wins."""
+    """A name of one or two lines before a legal form; the longest form wins.
+
+    organization = name, blanks, form; name = line, [line feed, line]; line = letter or digit, then
+    as few letters, digits and marks as will do. Neither letter nor digit stands at either end, and any
+    blanks may stand for a space of the form.
+    """
     if not legal_forms:
         return F.array().cast(SPANS)
-    special = r"\.[]{}()*+-?^$|"
-    forms = "|".join("".join("[ \\t\\r\\n]+" if c == " " else "\\" + c if c in special else c for c in f) for f in sorted(legal_forms, key=len, reverse=True))
-    line = rf"[{_PL}0-9][{_PL}0-9_\-+&'\"„”().,/ \t]{{1,120}}?"
-    pattern = rf"(?iu)(?<![{_PL}0-9])(?:{line}(?:[ \t]*\r?\n[ \t]*{line})?)[ \t\r\n]+(?:{forms})(?![{_PL}0-9])"
-    found = F.when(text.rlike(rf"(?iu)[ \t\r\n](?:{forms})(?![{_PL}0-9])"), hits(text, pattern)).otherwise(F.array().cast("array<struct<start: int, end: int, raw: string>>"))
+    blanks, few, solid = r"[ \t\r\n]+", r"[ \t]*", f"[{_PL}0-9]"
+    line = solid + f"(?:{solid}|{_any_of(_NAME_MARKS)}){{1,{_NAME_LENGTH}}}?"
+    by_length = sorted(legal_forms, key=lambda form: -len(form))
+    form = "(?:" + "|".join(blanks.join(f"\\Q{word}\\E" for word in f.split(" ")) for f in by_length) + f")(?!{solid})"
+    name = f"(?<!{solid}){line}(?:{few}\\r?\\n{few}{line})?"
+    found = hits(text, f"(?iu){name}{blanks}{form}", guard=f"(?iu)[ \\t\\r\\n]{form}")
     return spans(found, "ORGANIZATION", "organization", lambda h: F.lit(0.92))
 
 
