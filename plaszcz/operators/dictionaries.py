@@ -47,17 +47,22 @@ def _build(rows: DataFrame, source: Column, value: Column, extra: Sequence[Colum
     names = [c for c in each.columns if c not in ("_source",)]
     state = F.when(F.coalesce(F.col("value"), F.lit("")) == "", "empty").when(suspicious(F.col("value")), "rejected").otherwise("good")
     each = each.withColumn("_state", state)
-    first = each.filter("_state = 'good'").groupBy("value").agg(F.min_by(F.struct(*names), "line_no").alias("_first"), F.count("*").alias("_n"))
+    first = each.filter("_state = 'good'").groupBy("value").agg(F.min_by(F.struct(*names), "line_no").alias("_first"))
     values = first.select("_first.*")
     rejections = each.filter("_state = 'rejected'").select(
         F.lit(file_path).alias("file_path"), F.col("line_no").cast("string").alias("line_no"), F.col("_source").alias("source_value"), F.lit(REASON).alias("reason")
     )
-    good = first.agg(F.count("*").alias("valid"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
-    other = each.agg(F.count_if(F.col("_state") == "empty").alias("empty"), F.count_if(F.col("_state") == "rejected").alias("rejected"))
-    counts = good.join(F.broadcast(other))  # one row on either side
+    counts = _counts(each, F.col("_state") == "good", F.col("value"))
     return Built(values, rejections, counts)
 
 
+def _counts(rows: DataFrame, good: Column, value: Column) -> DataFrame:
+    """One row: distinct good values, good rows besides these, empty and rejected rows."""
+    valid = F.count_distinct(F.when(good, value))
+    states = [F.count_if(F.col("_state") == s).alias(s) for s in ("empty", "rejected")]
+    return rows.agg(valid.alias("valid"), F.count_if(good).alias("_good"), *states).select("valid", (F.col("_good") - F.col("valid")).alias("duplicates"), "empty", "rejected")
+
+
 def build_names(rows: DataFrame, file_path: str = "") -> Built:
     """rows (line_no, value, count) -> values (line_no, value, count): trimmed, upper case, first wins, in source order by line_no.
 
@@ -103,10 +108,8 @@ def build_terc(rows: DataFrame, file_path: str = "") -> Built:
     rejections = each.filter("_state = 'rejected'").select(
         F.lit(file_path).alias("file_path"), F.col("line_no").cast("string").alias("line_no"), F.col("_source").alias("source_value"), F.lit(REASON).alias("reason")
     )
-    named = each.filter("_state = 'good' AND level IS NOT NULL").groupBy("level", F.lower("_source").alias("value")).agg(F.count("*").alias("_n"))
-    good = named.agg(F.count("*").alias("valid"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
-    other = each.agg(F.count_if(F.col("_state") == "empty").alias("empty"), F.count_if(F.col("_state") == "rejected").alias("rejected"))
-    return Built(values, rejections, good.join(F.broadcast(other)))  # one row on either side
+    counts = _counts(each, (F.col("_state") == "good") & F.col("level").isNotNull(), F.struct("level", F.lower("_source")))
+    return Built(values, rejections, counts)
 
 
 def detect_delimiter(first_line: str) -> str | None:

@@ -114,8 +114,8 @@ def package_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("entities.docx", _package({"[Content_Types].xml": "wordprocessingml", "word/document.xml": declared})), ("climbs.docx", _package({"../x": "y"})), ("bomb.docx", _document(x="A" * 2_000_000)),
         ("encrypted.docx", _document(EncryptionInfo="x")), ("embedded.docx", _document(**{"word__embeddings__a.bin": "x"})), ("many.docx", _package({str(i): "" for i in range(501)})),
     ]
-    files = spark.createDataFrame([(n, bytearray(b) if b is not None else None) for n, b in kinds], "path string, content binary")
-    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("doc_id")).crossJoin(F.broadcast(files))  # 5 rows by a few
+    each_kind = F.explode(F.array(*[F.struct(F.lit(n).alias("path"), F.lit(bytearray(b) if b is not None else None).cast("binary").alias("content")) for n, b in kinds]))
+    rows = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("doc_id"), each_kind.alias("f")).select("doc_id", "f.*")
     units = document_units(rows)
     return units.groupBy("doc_id", "path").agg(F.count("text").alias("units"), F.max(F.col("error").isNotNull()).alias("refused"), F.max(F.size(F.coalesce("warnings", F.array().cast("array<string>")))).alias("warnings"))
 
