@@ -218,6 +218,8 @@ def _links(drawn: DataFrame, marked: DataFrame, text: str, slab_rows: int = SLAB
 
     rows = _dealt(drawn, slab_rows).repartition("_key", "_cell").sortWithinPartitions("_key", "_cell")
     picked, _ = stage(rows.mapInArrow(pick, "_key bigint, _cell bigint, _fp bigint, _node bigint"), "paired")
+    once, _ = stage(_once(picked), "buckets")
+    picked = picked.join(once, ["_key", "_cell"], "left_semi")
     # both sides are dealt by node, so texts move once
     texts = marked.select("_node", text).dropDuplicates(["_node"]).join(picked.select("_node").distinct(), "_node", "left_semi")
     sets = shingle_sets(texts, "_node", text)
@@ -236,6 +238,16 @@ def _links(drawn: DataFrame, marked: DataFrame, text: str, slab_rows: int = SLAB
     return full.mapInArrow(verify, "u bigint, v bigint")
 
 
+def _once(picked: DataFrame) -> DataFrame:
+    """(_key, _cell) of one bucket for each set of nodes: buckets of the same nodes, as most copies' 8 are, give the same links.
+
+    Sets are told apart by their size and two hashes of 64 bits.
+    """
+    mixed = [F.bit_xor(F.xxhash64("_node", F.lit(seed))).alias(f"_x{seed}") for seed in (1, 2)]
+    buckets = picked.groupBy("_key", "_cell").agg(F.count("*").alias("_n"), *mixed)
+    return buckets.groupBy("_n", "_x1", "_x2").agg(F.min(F.struct("_key", "_cell")).alias("_one")).select("_one.*")
+
+
 def _whole_buckets(batches: Iterator[pa.RecordBatch], most_rows: int) -> Iterator[tuple[np.ndarray, pa.Table]]:
     """Sorted rows in runs of some most_rows, or 8 MB, that end where a bucket ends: (bucket number, rows)."""
 
